@@ -40,34 +40,61 @@ _BEFORE_SPACED_WORD = re.compile(r"(?= \S)")
 
 
 class Encoder:
-    """Ids of whole texts. Texts are cut before every space that a visible character follows, where
-    the byte-level pre-tokenizer always starts a new unit; each distinct piece is encoded once."""
+    """Ids of whole texts. Texts are cut before every space that a visible character follows, where the
+    byte-level pre-tokenizer always starts a new unit, and each distinct piece is encoded once. New pieces are
+    encoded in long runs; as every id stands for a known number of bytes, the run's ids fall to its pieces.
+    Pieces used of late stay in memory, at most twice ``kept`` of them."""
 
-    def __init__(self, tokenizer_path: str, kept: int = 400_000) -> None:
+    def __init__(self, tokenizer_path: str, kept: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(tokenizer_path), kept, {}
+        self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_path), kept
+        vocabulary, special = self.tokenizer.get_vocab(), self.tokenizer.get_added_tokens_decoder()
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(special[i].content.encode()) if i in special else len(token)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
+    def pieces(text: str) -> tuple[str, list[str]]:
+        """What comes before the first cut, and the pieces after it without their leading space."""
         if _AWKWARD_SPACE.search(text):
-            return [p for p in _BEFORE_SPACED_WORD.split(text) if p]
+            first, *rest = _BEFORE_SPACED_WORD.split(text)
+            return first, [p[1:] for p in rest]
         first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        return first, rest
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Per text its ids as bytes."""
-        cut = [self.pieces(t) if t else [] for t in many]
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = list({p for pieces in cut for p in pieces})
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        if len(self.known) > self.kept:
+            self.known, self.older = {}, self.known
+        cut = [self.pieces(t) for t in many]
+        got = [list(map(self.known.get, rest)) for _, rest in cut]
+        gaps = [[i for i, ids in enumerate(found) if ids is None] if None in found else [] for found in got]
+        new = {rest[i] for (_, rest), gap in zip(cut, gaps, strict=True) for i in gap}
+        self.known.update({p: self.older[p] for p in new if p in self.older})
+        self._learn([p for p in new if p not in self.known])
+        for (_, rest), found, gap in zip(cut, got, gaps, strict=True):
+            for i in gap:
+                found[i] = self.known[rest[i]]
+        heads = self.tokenizer.encode_batch_fast([first for first, _ in cut], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() + b"".join(found) for e, found in zip(heads, got, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            run = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.length[run])
+            want = np.cumsum([len(p.encode()) + 1 for p in some])
+            stop = np.searchsorted(ends, want)
+            if len(run) and ends[-1] == want[-1] and (ends[stop] == want).all():
+                raw, stop = run.tobytes(), ((stop + 1) * 4).tolist()
+                self.known.update(zip(some, [raw[s:e] for s, e in zip([0, *stop], stop, strict=False)], strict=True))
+            else:  # an id that stands for other bytes than its own
+                found = self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
+                self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
 
 
 class FrameWriter:
@@ -75,7 +102,7 @@ class FrameWriter:
 
     def __init__(self, out, frame_bytes: int = FRAME_BYTES) -> None:
         self.out, self.frame_bytes = out, frame_bytes
-        self.pack = zstandard.ZstdCompressor(level=3, write_checksum=True)
+        self.pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
         self.pending: list[bytes] = []
         self.size = 0
         self.table: list[tuple[int, int, int]] = []
@@ -167,7 +194,7 @@ def write_token_files(
         docs = tokens = 0
         out = writer = None
         encoder, end = _encoder(tokenizer_path), struct.pack("<I", end_id)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             if writer is None:
                 out = store.open_output_stream(f"{top}/{name}", compression=None)
                 writer = FrameWriter(out, frame_bytes)
