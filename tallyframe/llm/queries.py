@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, fixity, language, near_copies, secret_ledger, token_files, toxicity, vector_links
+from tallyframe.llm import decontaminate, fixity, language, near_copies, page_text, secret_ledger, segmentations, token_files, toxicity, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_fixity": fixity.op5_fixity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_page_text": page_text.op7_page_text,
+        "op8_segmentations": segmentations.op8_segmentations,
         "op9_language": language.op9_language,
         "op10_vector_links": vector_links.op10_vector_links,
     }
