@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from tallyframe.plans import cells, records
+from tallyframe.plans import cells, inference, records
 from tallyframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cells", "records"]
+__all__ = ["ORACLES", "QUERIES", "cells", "inference", "records"]
