@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from tallyframe.plans import budgets, cells, inference, records
+from tallyframe.plans import answers, budgets, cells, inference, records
 from tallyframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "budgets", "cells", "inference", "records"]
+__all__ = ["ORACLES", "QUERIES", "answers", "budgets", "cells", "inference", "records"]
