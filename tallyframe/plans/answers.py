@@ -92,9 +92,14 @@ def integer_gold_only(spark, d):
     return t.where(F.col("norm").rlike(r"^-?\d+$")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("trace_policy_truncate", "SELECT doc_id, CASE WHEN length(text) <= 200 + 19 THEN length(text) ELSE 219 END AS n, md5(CASE WHEN length(text) <= 219 THEN text ELSE left(text, 100) || chr(10) || '...[truncated]...' || chr(10) || right(text, 100) END) AS digest FROM documents")
+_MARK = an.CUT_MARK.replace("\n", "")
+_N = 200 + len(an.CUT_MARK)
+
+
+@query("trace_policy_truncate", f"""SELECT doc_id, CASE WHEN length(text) <= {_N} THEN length(text) ELSE {_N} END AS n,
+  md5(CASE WHEN length(text) <= {_N} THEN text ELSE left(text, 100) || chr(10) || '{_MARK}' || chr(10) || right(text, 100) END) AS digest FROM documents""")
 def trace_policy_truncate(spark, d):
-    t = ad.table(spark, d, "documents").select("doc_id", an.shorten(F.col("text"), 200).alias("t"))
+    t = ad.table(spark, d, "documents").select("doc_id", an.shorten(F.col("text"), 100).alias("t"))
     return t.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 

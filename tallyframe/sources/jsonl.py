@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.identity import path_component
 
@@ -23,12 +24,12 @@ RECORD = (
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RECORD) -> DataFrame:
     """Rows of JSON lines files, plain or gzip, folders searched through; malformed and torn lines are left out, and a
     gzip file that breaks off gives what it holds. ``line_no`` orders the lines of a file, files by their path."""
-    lines = (
-        spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").json(path)
-    )
-    placed = lines.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    return placed.where("_corrupt is null").drop("_corrupt")
+    lines = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path)
+    shape = T._parse_datatype_string(f"{schema}, _corrupt string")
+    parsed = F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    placed = lines.select(parsed.alias("r"), F.trim("value").alias("v"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    whole = placed.where("v <> '' and r is not null and r._corrupt is null")
+    return whole.select(*[F.col("r")[f.name].alias(f.name) for f in shape.fields[:-1]], "file", "line_no")
 
 
 def append_jsonl(df: DataFrame, folder: str, gzip: bool = False) -> None:
@@ -46,7 +47,7 @@ def csv_value(c: Column, kind: str) -> Column:
     """A value as text: six significant digits, nothing for undefined numbers, ';' between list members."""
     if kind in ("double", "float"):
         shown = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", c), r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
-        return F.when(F.isnan(c), "").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(shown)
+        return F.when(c.isNull() | F.isnan(c), "").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(shown)
     if kind.startswith("array"):
         return F.array_join(F.transform(c, lambda x: x.cast("string")), ";")
     return F.to_json(c) if kind.startswith(("struct", "map")) else c.cast("string")
