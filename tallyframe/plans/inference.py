@@ -204,3 +204,10 @@ def permutation_test(spark, d):
 @query("bca_ci_mean")
 def bca_ci_mean(spark, d):
     return rs.bca_ci(_column(spark, d), ["model", "config"], "item", "p_hat", 200)
+
+
+@query("glmm_shares")
+def glmm_shares(spark, d):
+    from tallyframe.operators import glmm
+
+    return glmm.decompose(cl.cells(ad.samples(spark, d)), ["seed"])
