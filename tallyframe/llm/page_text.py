@@ -70,7 +70,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _key(kind: str, name: str, content: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind} {name} {' '.join(content.split())}") >> 1
+    """A tag is a positive number, a text a negative one."""
+    h = 1 + (xxhash.xxh3_64_intdigest(f"{kind} {name} {' '.join(content.split())}") >> 2)
+    return -h if kind == "text" else h
 
 
 def page_keys(page: str) -> Counter[int]:
@@ -139,7 +141,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 page = xxhash.xxh3_128_intdigest(t or b"")
                 one, two = page & 0x7FFFFFFF, (page >> 64) & 0x7FFFFFFF
                 keys = page_keys((t or b"").decode(errors="replace"))
-                keys[-1] = 1
+                keys[0] = 1
                 for key, n in keys.items():
                     row = found.setdefault((host, key), [0, 0, 0, 0])
                     row[0] += one * n
@@ -155,12 +157,13 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = pages.select("host", "html").mapInArrow(count, "host string, token long, one long, two long, n long, pages long")
     per = counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("one", "two", "n", "pages")])
     once = per.where("n = pages")
-    sizes = once.where("token = -1").select("host", F.col("pages").alias("all_pages"))
-    classes = once.where(f"token <> -1").join(sizes, "host").where(F.col("pages") * LEAST_SHARE >= F.col("all_pages"))
+    sizes = once.where("token = 0").select("host", F.col("pages").alias("all_pages"))
+    classes = once.where("token <> 0").join(sizes, "host").where(F.col("pages") * LEAST_SHARE >= F.col("all_pages"))
     # A class of one token is no template of its own, unless it is on every page.
     big = classes.groupBy("host", "one", "two", "pages").agg(F.count(F.lit(1)).alias("members"))
     kept = classes.join(big, ["host", "one", "two", "pages"]).where((F.col("members") > 1) | (F.col("pages") == F.col("all_pages")))
-    return kept.where("pages > 1 or all_pages = 1").select("host", "token")
+    # Words are constant if half of the pages, and three at least, have them.
+    return kept.where("token > 0 and (pages > 1 or all_pages = 1) or token < 0 and pages > 2 and pages * 2 >= all_pages").select("host", "token")
 
 
 def extract(pages: DataFrame, carry: list[str], url_col: str = "url", html_col: str = "html", most_tokens: int = MOST_TEMPLATE_TOKENS) -> DataFrame:

@@ -93,8 +93,8 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 def join_blocks(ua: np.ndarray, wa: np.ndarray, ub: np.ndarray, wb: np.ndarray, axes: np.ndarray, threshold: float, same: bool):
     """Weighted link counts of a's vectors then b's, and for each its root (an index into both)."""
     na, reach = len(ua), 2 - 2 * threshold + 1e-9
-    n_links = np.zeros(na + len(ub), np.int64)
-    parent = np.arange(na + len(ub))
+    n_links = np.zeros(na if same else na + len(ub), np.int64)
+    parent = np.arange(len(n_links))
     ya, yb = ua @ axes, ub @ axes
     ra, rb = range(0, na, RUN), range(0, len(ub), RUN)
     box = lambda y, starts: (np.array([y[i : i + RUN].min(axis=0) for i in starts]), np.array([y[i : i + RUN].max(axis=0) for i in starts]))
