@@ -28,9 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every group of near copies."""
     rows = nc.with_row(docs)
-    found = nc.near_copies(rows, row_col="row")
-    dropped = found.where("not kept").select("row")
-    return rows.join(dropped, "row", "left_anti").select(docs.columns)
+    dropped = nc.near_copies(rows, row_col=nc.ROW).where("not kept").select(F.col("row").alias(nc.ROW))
+    return rows.join(dropped, nc.ROW, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +40,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and n_chars counted anew where a text changed."""
-    rows = nc.with_row(docs)
-    found = sl.scan_versions(rows, id_col="row")[0].where(F.size("spans") > 0).select("row", "spans")
+    rows, spans, masked = nc.with_row(docs), "__spans__", "__masked__"
+    found = sl.scan_versions(rows, id_col=nc.ROW)[0].where(F.size("spans") > 0).select(nc.ROW, F.col("spans").alias(spans))
     none = F.array().cast(f"array<{sl.SPAN}>")
-    joined = rows.join(found, "row", "left").withColumn("spans", F.coalesce("spans", none))
-    masked = sl.redact(F.col("text"), F.col("spans"))
-    changed = joined.withColumn("masked", masked)
-    columns = {"text": F.col("masked"), "n_chars": F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))}
-    return changed.select([columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    joined = rows.join(found, nc.ROW, "left").withColumn(spans, F.coalesce(spans, none))
+    changed = joined.withColumn(masked, sl.redact(F.col("text"), F.col(spans)))
+    length = F.when(F.size(spans) > 0, F.length(masked).cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col(masked), "n_chars": length}
+    return changed.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,9 +142,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: A name that tables do not use.
+ROW = "__row__"
+
+
 def with_row(documents: DataFrame) -> DataFrame:
-    """The documents, read from files, with ``row``: the place of each row in them."""
-    return documents.withColumn("row", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+    """The documents, read from files, with ``ROW``: the place of each row in them."""
+    return documents.withColumn(ROW, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
 
 
 def overlap(a: bytes, b: bytes) -> float:

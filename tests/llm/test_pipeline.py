@@ -54,3 +54,23 @@ def test_run_is_the_stages_in_a_row(spark, sf, stages):
     key = lambda df: sorted((r.doc_id, r.draw, tuple(r.ids)) for r in df.collect())
     assert key(cp.run(spark, sf)) == key(stages[-1][1])
     assert cp.ORACLE_SQL is None and dc and nc
+
+
+def test_nulls_repeats_and_clashing_columns(spark, sf, tmp_path):
+    secret = "token=abcdefgh and more words here " * 2
+    rows = [(1, None, None, "s", 0), (2, "", "en", "s", 0), (3, secret, "en", None, len(secret)), (3, secret, "en", None, len(secret)), (None, "a " * 9000, "en", "s", 18000), (5, "x", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "spans", "masked", "node", "kept", "toxic", "content", "blob"):
+        df = df.withColumn(name, cp.F.lit("own"))
+    df.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for _, stage in cp.STAGES[:4]:
+        columns, docs = docs.columns, written(stage(spark, docs, sf), "t")
+        assert docs.columns == columns and docs.where("row <> 'own' or spans <> 'own' or masked <> 'own'").count() == 0
+    got = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert [k for k, _ in got] == [0, 1, 2, 3, 5] and got[3][1] == "[SECRET] and more words here " * 2
+    assert cp.STAGES[4][1](spark, docs, sf).count() > 5
+    empty = docs.limit(0)
+    empty.write.parquet(str(tmp_path / "none"))
+    for _, stage in cp.STAGES:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "none")), sf).count() == 0
