@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from tallyframe.llm.common import columns, mix64, texts, unit
 SPACE = "▁"
 #: Draws for each text.
 DRAWS = 2
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 #: An entry this much (in natural logs) below the best one cannot pass it in double precision.
 NEGLIGIBLE = 40.0
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -51,7 +52,7 @@ class Pieces:
         n = sp.get_piece_size()
         self.log_weight = -np.log(np.arange(n) + 1.0)
         self.byte_id = np.zeros(256, np.int64)
-        self.spelled: dict[int, bytes] = {}
+        self.spelled = [b""] * n
         words, ids = [], []
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -61,9 +62,9 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 if "\n" in piece and piece != "\n" or SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {piece!r} reaches across units")
-                words.append(piece)
+                words.append(piece.replace(SPACE, " "))
                 ids.append(i)
-                self.spelled[i] = piece.replace(SPACE, " ").encode()
+                self.spelled[i] = words[-1].encode()
         self.longest = max(map(len, words))
         self.tables = [self._table([(w, i) for w, i in zip(words, ids, strict=True) if len(w) == size]) for size in range(1, self.longest + 1)]
 
@@ -75,20 +76,19 @@ class Pieces:
     def _table(self, pieces: list[tuple[str, int]]):
         """Open hash table of the pieces of one length: keys and ids, probed one slot after another."""
         bits = max(4, int(np.ceil(np.log2(4 * len(pieces) + 1))))
-        keys, ids, reach = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64), 1
+        keys, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         for word, i in pieces:
             h = np.zeros(1, np.uint64)
             for c in word:
                 h = self.roll(h, np.array([ord(c)], np.uint64))
-            at = first = int(h[0] >> np.uint64(64 - bits))
+            at = int(h[0] >> np.uint64(64 - bits))
             while ids[at] >= 0:
                 at = (at + 1) % len(ids)
-            reach = max(reach, (at - first) % len(ids) + 1)
             keys[at], ids[at] = h[0], i
-        return bits, keys, ids, reach
+        return bits, keys, ids
 
     def find(self, size: int, h: np.ndarray) -> np.ndarray:
-        bits, keys, ids, _ = self.tables[size - 1]
+        bits, keys, ids = self.tables[size - 1]
         slot = (h >> np.uint64(64 - bits)).astype(np.int64)
         found = ids[slot]
         todo = np.flatnonzero((found >= 0) & (keys[slot] != h))
@@ -105,81 +105,97 @@ class Pieces:
 
 
 class Lattices:
-    """Lattices of distinct units. Nodes are numbered through, unit by unit, each unit's end being one more node.
-    Edge ``node * width + n - 1`` is the piece of n characters at a node: its chance there, 0 if there is none,
-    and its piece; pieces below 0 are characters as bytes."""
-
-    def __init__(self, pieces: Pieces, units: set[str]) -> None:
-        self.width = pieces.longest
-        self.start: dict[str, int] = {}
-        self.is_end = np.zeros(0, bool)
-        self.chance, self.piece, self.sums = np.zeros(0), np.zeros(0, np.int32), np.zeros((0, self.width))
+    """Lattices of distinct units. Nodes are numbered by how many characters are left to their unit's end, then by unit,
+    longer units first: so all nodes at one distance lie side by side, the ends come first, and every step of the
+    recursion is on whole stretches. Edge ``node * width + n - 1`` is the piece of n characters at a node: its chance
+    there, 0 if there is none, in single precision, and its piece; pieces below 0 are characters as bytes."""
+
+    def __init__(self, pieces: Pieces, units: list[str]) -> None:
+        self.width, self.ends = 1, len(units)
+        #: The first node of each unit's lattice.
+        self.start = np.zeros(0, np.int64)
+        self.level, self.left = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.chance, self.piece = np.zeros(0, np.float32), np.zeros(0, np.int32)
+        self.sums = np.zeros((0, 1), np.float32)
         if units:
-            self._build(pieces, sorted(units, key=len, reverse=True))
-
-    def nodes(self, units: list[str]) -> np.ndarray:
-        """The first node of each unit's lattice."""
-        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+            self._build(pieces, units)
 
     def target(self, edges: np.ndarray) -> np.ndarray:
-        return edges // self.width + edges % self.width + 1
+        node = edges // self.width
+        left = self.left[node]
+        return node - self.level[left] + self.level[left - (edges - node * self.width) - 1]
 
     def _build(self, p: Pieces, units: list[str]) -> None:
         size = np.fromiter(map(len, units), np.int64, len(units))
-        text = "\0".join(units) + "\0"  # the end node of a unit stands where the mark is
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        stops = np.cumsum(size + 1) - 1
-        self.is_end = np.zeros(len(chars), bool)
-        self.is_end[stops] = True
-        self.start = dict(zip(units, (stops - size).tolist(), strict=True))
-        end = np.repeat(stops, size + 1)
-        at, h = np.flatnonzero(~self.is_end), np.zeros(len(chars) - len(units), np.uint64)
-        hits, bare = [], np.zeros(0, np.int64)
-        for n in range(1, min(p.longest, int(size[0])) + 1):
-            inside = at + n <= end[at]
-            at, h = at[inside], p.roll(h[inside], chars[at[inside] + n - 1])
-            got = p.find(n, h)
-            hit = got >= 0
-            hits.append((at[hit], got[hit]))
-            bare = at[~hit] if n == 1 else bare
-        width = self.width = max([1, *[n for n, (place, _) in enumerate(hits, 1) if len(place)]])
-        piece = np.zeros((len(chars), width), np.int32)
-        weight = np.full((len(chars), width), -np.inf)
-        for n, (place, got) in enumerate(hits[:width]):
-            piece[place, n] = got
-            weight[place, n] = p.log_weight[got]
-        for code in np.unique(chars[bare]).tolist():
-            spelled = p.byte_id[list(chr(code).encode("utf-8", "surrogatepass"))]
-            place = bare[chars[bare] == code]
-            piece[place, 0] = spelled[0] if len(spelled) == 1 else -1 - code
-            weight[place, 0] = p.log_weight[spelled].sum()
-        # Log weight of all paths from a node to its unit's end, from the ends backwards; longer units come first.
-        rest = np.zeros(len(chars) + width)
-        reach = np.arange(1, width + 1)
-        for left in range(1, int(size[0]) + 1):
-            node = stops[: int(np.searchsorted(-size, -left, side="right"))] - left
-            paths = weight[node] + rest[node[:, None] + reach]
-            top = paths.max(axis=1)
-            share = np.exp(paths - top[:, None])
-            total = share.sum(axis=1)
-            rest[node] = top + np.log(total)
-            weight[node] = share / total[:, None]
-        weight[self.is_end] = 0
-        self.chance, self.piece, self.sums = weight.ravel(), piece.ravel(), weight.cumsum(axis=1)
+        order = np.argsort(-size, kind="stable")
+        size, units = size[order], [units[i] for i in order.tolist()]
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        stops, longest = np.cumsum(size), int(size[0])
+        count = np.searchsorted(-size, -np.arange(longest + 1), side="right")
+        self.level = level = np.concatenate(([0], np.cumsum(count)))
+        self.left = np.repeat(np.arange(longest + 1, dtype=np.int32), count)
+        self.start = np.empty(len(units), np.int64)
+        self.start[order] = level[size] + np.arange(len(units))
+        at = [chars[stops[:m] - max(left, 1)] for left, m in enumerate(count)]
+        found: list[list[np.ndarray]] = [[]]
+        width = 1
+        for left in range(1, longest + 1):
+            m, h, own = count[left], np.zeros(count[left], np.uint64), []
+            for n in range(1, min(left, p.longest) + 1):
+                h = p.roll(h, at[left - n + 1][:m])
+                got = p.find(n, h)
+                if n > width and (got >= 0).any():
+                    width = n
+                own.append(got)
+            found.append(own)
+        self.width = width
+        weights = np.append(p.log_weight, -np.inf)  # a piece not found is -1, the last one
+        chance, sums = np.zeros((level[-1], width), np.float32), np.zeros((level[-1], width), np.float32)
+        piece = np.zeros((level[-1], width), np.int32)
+        rest = [np.zeros(count[0])]
+        for left in range(1, longest + 1):
+            m, here, own = count[left], slice(level[left], level[left] + count[left]), found[left][:width]
+            paths = np.empty((len(own), m))
+            for n, got in enumerate(own, 1):
+                paths[n - 1] = weights[got]
+                piece[here, n - 1] = got
+                if n == 1 and (got < 0).any():
+                    bare = np.flatnonzero(got < 0)
+                    codes = at[left][bare]
+                    for code in np.unique(codes).tolist():
+                        spelled = p.byte_id[list(chr(code).encode("utf-8", "surrogatepass"))]
+                        place = bare[codes == code]
+                        piece[here.start + place, 0] = spelled[0] if len(spelled) == 1 else -1 - code
+                        paths[0, place] = p.log_weight[spelled].sum()
+                paths[n - 1] += rest[left - n][:m]
+            top = paths.max(axis=0)
+            paths -= top
+            np.exp(paths, out=paths)
+            total = paths.sum(axis=0)
+            rest.append(top + np.log(total))
+            paths /= total
+            chance[here, : len(own)] = paths.T
+            np.cumsum(paths, axis=0, out=paths)
+            sums[here, : len(own)] = paths.T
+            sums[here, len(own) :] = sums[here, len(own) - 1 : len(own)]
+            found[left] = []
+        self.chance, self.piece, self.sums = chance.ravel(), piece.ravel(), sums
 
     def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node to its unit's end: edges in order, and how many each has."""
         steps, owner, n = [], [], np.zeros(len(node), np.int64)
-        on, at, table = np.flatnonzero(~self.is_end[node]), node[~self.is_end[node]], self.sums
+        on = np.flatnonzero(node >= self.ends)
+        at = node[on]
         while len(on):
-            sums = table[at]
-            u = unit(mix64(seed[on] + n[on].astype(np.uint64) * _C)) * sums[:, -1]
+            sums = self.sums[at]
+            u = (unit(mix64(seed[on] + n[on].astype(np.uint64) * _C)) * sums[:, -1]).astype(np.float32)
+            u = np.minimum(u, np.nextafter(sums[:, -1], np.float32(0)))
             edge = at * self.width + (sums <= u[:, None]).sum(axis=1)
             steps.append(edge)
             owner.append(on)
             n[on] += 1
             at = self.target(edge)
-            go = ~self.is_end[at]
+            go = at >= self.ends
             on, at = on[go], at[go]
         place = np.cumsum(n) - n
         flat = np.empty(int(n.sum()), np.int64)
@@ -189,8 +205,8 @@ class Lattices:
 
 
 def units_of(text: str) -> list[str]:
-    """Stretches of the text, with a space put before it and spaces marked, that pieces do not reach across."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """Stretches of the text, with a space put before it, that pieces do not reach across."""
+    return _UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
 def _log1mexp(x: float) -> float:
@@ -209,10 +225,10 @@ class _Row:
         of them can ever be taken."""
         at, log_p, best, found = skip, before, -np.inf, []
         while at < len(edges) and (best == -np.inf or log_p > best - NEGLIGIBLE):
-            n = max(64, at - skip)
+            n = max(512, at - skip)
             c, own = chance[at : at + n], logs[at : at + n]
             prefix = log_p + np.cumsum(own) - own
-            turn = np.flatnonzero(c < 1 - 1e-15)
+            turn = np.flatnonzero(c < 1)
             place = prefix[turn] + np.log1p(-c[turn])
             u = unit(mix64(self.seed ^ ((at + turn).astype(np.uint64) * _B + np.uint64(draw * 0x9E3779B9))))
             g = _truncated(place, top, u)
@@ -228,9 +244,11 @@ class _Row:
 @np.errstate(over="ignore")
 def sample(texts_: list[str], keys: list[bytes], pieces: Pieces, draws: int = DRAWS, seed: int = 0):
     """Per text its draws, best first: (piece codes, log probability, log inclusion)."""
-    cut = [units_of(t) for t in texts_]
-    lattices = Lattices(pieces, {u for c in cut for u in c})
-    rows = [_Row(np.uint64(xxhash.xxh3_64_intdigest(k, seed=seed)), lattices.nodes(c)) for k, c in zip(keys, cut, strict=True)]
+    number: dict[str, int] = {}
+    cut = [[number.setdefault(u, len(number)) for u in units_of(t)] for t in texts_]
+    lattices = Lattices(pieces, list(number))
+    seeds = [np.uint64(xxhash.xxh3_64_intdigest(k, seed=seed)) for k in keys]
+    rows = [_Row(s, lattices.start[np.array(c, np.int64)]) for s, c in zip(seeds, cut, strict=True)]
     # Each job: row, steps so far, their log probability, the node inside a unit to go on from or -1, the unit
     # after that, and the noise of the best path below.
     jobs = [(r, np.zeros(0, np.int64), 0.0, -1, 0, _gumbel(r.seed)) for r in rows if len(r.nodes)]
@@ -248,7 +266,7 @@ def sample(texts_: list[str], keys: list[bytes], pieces: Pieces, draws: int = DR
         steps = np.cumsum([int(x.sum()) for x in np.split(n, sizes)])[:-1]
         for (r, before, log_p, _, _, top), edges in zip(jobs, np.split(flat, steps), strict=True):
             path = np.concatenate([before, edges])
-            chance = lattices.chance[path]
+            chance = lattices.chance[path].astype(np.float64)
             logs = np.log(chance)
             r.found.append((lattices.piece[path], float(logs.sum())))
             r.turn_offs(path, chance, logs, log_p, top, len(before), draw, draws - draw)
@@ -289,7 +307,7 @@ def _next(r: _Row, lattices: Lattices, draw: int):
     node = next(iter(used)) // lattices.width
     edges = np.arange(node * lattices.width, (node + 1) * lattices.width)
     edges = edges[(lattices.chance[edges] > 0) & ~np.isin(edges, list(used))]
-    chance = lattices.chance[edges]
+    chance = lattices.chance[edges].astype(np.float64)
     noise = unit(mix64(r.seed + np.uint64(draw + 1) * _C + np.arange(2, dtype=np.uint64)))
     pick = min(int(np.searchsorted(np.cumsum(chance), noise[0] * chance.sum())), len(edges) - 1)
     left = float(np.delete(chance, pick).sum())
@@ -299,7 +317,7 @@ def _next(r: _Row, lattices: Lattices, draw: int):
         heapq.heappush(r.entries, (-again, r.n, before, log_p, {*used, int(edges[pick])}))
     path = np.concatenate([before, edges[pick : pick + 1]])
     to = lattices.target(path)
-    ended = lattices.is_end[to]
+    ended = to < lattices.ends
     following = int(ended.sum()) + (not ended[-1])
     inside = -1 if ended[-1] else int(to[-1])
     return r, path, log_p + float(np.log(chance[pick])), inside, following, top
@@ -327,7 +345,8 @@ def _pieces(path: str) -> Pieces:
 def _by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text at most, one row at least."""
     for batch in batches:
-        size = np.cumsum([len(t or b"") + 64 for t in texts(batch, column)])
+        length = pc.fill_null(pc.binary_length(columns(batch, [column])[0]), 0)
+        size = np.cumsum(length.to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         at = 0
         while at < batch.num_rows:
             n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")) - at)
@@ -353,7 +372,7 @@ def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: st
             keys = [str(k).encode() for k in columns(batch, [key_col])[0].to_pylist()]
             at, rank, ids, log_p, inclusion, good = [], [], [], [], [], []
             for i, (text, found) in enumerate(zip(own, sample(own, keys, pieces, draws, seed), strict=True)):
-                plain = text.replace(SPACE, " ")
+                plain = (" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b""
                 for k, (codes, lp, inc) in enumerate(found):
                     got = ids_of(codes, pieces)
                     at.append(i)
@@ -361,8 +380,8 @@ def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: st
                     ids.append(got.astype(np.int32))
                     log_p.append(lp)
                     inclusion.append(inc)
-                    good.append(pieces.decode(got.tolist()) == plain)
-            kept = batch.take(pa.array(at, pa.int64()))
+                    good.append(b"".join(map(pieces.spelled.__getitem__, got.tolist())) == plain)
+            kept = batch.select(carry).take(pa.array(at, pa.int64()))
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays(
@@ -374,13 +393,12 @@ def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: st
 
 
 def op8_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of every draw: ids_crc32 is over the ids in hexadecimal, joined by commas."""
+    """Digest of every draw."""
     import public_tokenizers
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = segment(documents, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
-    spelled = F.array_join(F.transform("sg_ids", lambda i: F.hex(i)), ",")
     return found.select(
-        "doc_id", F.col("sg_rank").alias("draw"), F.size("sg_ids").cast("long").alias("n_pieces"), F.crc32(spelled.cast("binary")).alias("ids_crc32"),
+        "doc_id", F.col("sg_rank").alias("draw"), F.size("sg_ids").cast("long").alias("n_pieces"), F.xxhash64("sg_ids").alias("ids_hash"),
         F.col("sg_log_p").alias("log_probability"), F.col("sg_log_inclusion").alias("log_inclusion"), F.col("sg_round_trip").alias("round_trip"),
     )
