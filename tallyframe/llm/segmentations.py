@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +192,7 @@ class Lattices:
             sums = self.sums[at]
             u = (unit(mix64(seed[on] + n[on].astype(np.uint64) * _C)) * sums[:, -1]).astype(np.float32)
             u = np.minimum(u, np.nextafter(sums[:, -1], np.float32(0)))
-            edge = at * self.width + (sums <= u[:, None]).sum(axis=1)
+            edge = at * self.width + (sums <= u[:, None]).sum(axis=1, dtype=np.int8)
             steps.append(edge)
             owner.append(on)
             n[on] += 1
@@ -244,8 +246,8 @@ class _Row:
 @np.errstate(over="ignore")
 def sample(texts_: list[str], keys: list[bytes], pieces: Pieces, draws: int = DRAWS, seed: int = 0):
     """Per text its draws, best first: (piece codes, log probability, log inclusion)."""
-    number: dict[str, int] = {}
-    cut = [[number.setdefault(u, len(number)) for u in units_of(t)] for t in texts_]
+    number: dict[str, int] = defaultdict(count().__next__)
+    cut = [list(map(number.__getitem__, units_of(t))) for t in texts_]
     lattices = Lattices(pieces, list(number))
     seeds = [np.uint64(xxhash.xxh3_64_intdigest(k, seed=seed)) for k in keys]
     rows = [_Row(s, lattices.start[np.array(c, np.int64)]) for s, c in zip(seeds, cut, strict=True)]
