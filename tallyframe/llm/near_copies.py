@@ -8,9 +8,13 @@ process has passed its highest register. Two documents agree in a register with
 weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers make candidates: at similarity 0.8 a pair
 shares a band with probability 0.9994.
 
-In a band's bucket, every document is compared with the document that shares most buckets and with the one of
-least key, so work is linear in the bucket; it is verified by the exact overlap of the multisets. Verified
-links make classes by connected components. Copies of one text count once. Texts without words match nothing;
+In a band's bucket, every document is first compared with the document that shares most buckets and with the
+one of least key; pairs are verified by the exact overlap of the multisets, and verified links make classes by
+connected components. Where the other members of a bucket are still of several classes, all pairs of them that
+no class joins are compared, in blocks of the bucket, each pair in the first bucket that it shares. So every
+pair of a bucket is compared or already of one class, and rows stay linear where a bucket is one class.
+
+Copies of one text count once. Texts without words match nothing;
 texts of under five words are one shingle. One row of each class is kept, the one of least doc_id. Rows of
 one id are told apart by their text, repeated rows by their place.
 """
@@ -30,6 +34,10 @@ from tallyframe.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
+#: Members and bytes of marks of a part of a bucket; two parts make a block.
+PART, PART_BYTES = 128, 1 << 23
+#: Up to so many unsettled nodes are broadcast to pick their marks; more are joined by key.
+MOST_BROADCAST = 1_000_000
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 
@@ -168,28 +176,106 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns(batch, ["u", "v"]), names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of nodes to verify: in each bucket, all against two of its members."""
+def buckets(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, n) of the buckets of several nodes, and (bucket, most, least) of their pivots."""
     nodes = sketches.select("node", "bands").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = written(rows.join(shared, "bucket"), "buckets")
     central = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    rows = rows.join(central, "node").select("bucket", "node", "weight")
-    pivots = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("most"), F.min("node").alias("least"))
-    met = rows.join(pivots, "bucket").select("node", F.explode(F.array("most.node", "least")).alias("pivot")).where("node <> pivot")
+    weighed = rows.join(central, "node").select("bucket", "node", "weight")
+    pivots = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("most"), F.min("node").alias("least"))
+    return rows, written(pivots.select("bucket", "most.node", "least").toDF("bucket", "most", "least"), "pivots")
+
+
+def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of nodes: in each bucket, all against its two pivots."""
+    met = rows.join(pivots, "bucket").select("node", F.explode(F.array("most", "least")).alias("pivot")).where("node <> pivot")
     return met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
 
 
-def links(sketches: DataFrame) -> DataFrame:
-    """Verified pairs of nodes."""
+def candidates(sketches: DataFrame) -> DataFrame:
+    """The pairs of the first pass."""
+    return pivot_pairs(*buckets(sketches))
+
+
+def links(sketches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Verified pairs of nodes, of the first pass or of ``pairs``."""
     marks = sketches.select("node", "marks").groupBy("node").agg(F.first("marks").alias("marks"))
-    pairs = candidates(sketches)
+    pairs = candidates(sketches) if pairs is None else pairs
     pairs = pairs.join(marks.select(F.col("node").alias("v"), F.col("marks").alias("mb")), "v")
     pairs = pairs.join(marks.select(F.col("node").alias("u"), F.col("marks").alias("ma")), "u")
     return pairs.select("u", "v", "ma", "mb").mapInArrow(_verify, "u binary, v binary")
 
 
+def unsettled(rows: DataFrame, pivots: DataFrame, linked: DataFrame) -> DataFrame:
+    """(bucket, node, component, main) of the members, pivots left out, of buckets where these are of several
+    components; ``main`` is the bucket's largest one."""
+    rest = rows.where("n > 2").join(pivots, "bucket").where("node <> most and node <> least").select("bucket", "node")
+    rest = rest.join(linked, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return rest.join(mixed.select("bucket", F.col("top.component").alias("main")), "bucket")
+
+
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Links (u, v) between members of a block that join components."""
+    bucket, one, two = (table.column(c)[0].as_py() for c in ("bucket", "one", "two"))
+    node, component, marks, part = (table.column(c).to_pylist() for c in ("node", "component", "marks", "part"))
+    band = np.array(table.column("bands").to_pylist(), np.int64)
+    size = np.array([len(m) for m in marks])
+    left = np.array([i for i, p in enumerate(part) if p == one])
+    right = left if one == two else np.array([i for i, p in enumerate(part) if p == two])
+    parent: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    u, v = [], []
+    for i in left:
+        others = right[right > i] if one == two else right
+        if not len(others):
+            continue
+        same = band[others] == band[i]
+        # A pair meets in the first bucket that it shares, if lengths allow a link.
+        meet = same.any(axis=1) & (band[i][same.argmax(axis=1)] == bucket)
+        meet &= np.minimum(size[others], size[i]) >= THRESHOLD * np.maximum(size[others], size[i])
+        for j in others[meet]:
+            if (x := root(component[i])) != (y := root(component[j])) and overlap(marks[i], marks[j]) >= THRESHOLD:
+                parent[x] = y
+                u.append(min(node[i], node[j]))
+                v.append(max(node[i], node[j]))
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+
+def block_links(rest: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Verified links (u, v) between members of ``unsettled`` buckets that are of different components. Members
+    outside the main component are dealt to the first parts of a bucket, and each part of these is compared with
+    itself and with every other part."""
+    ids = rest.select(F.xxhash64("node").alias("id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    known = sketches.join(ids, F.xxhash64("node") == F.col("id"), "left_semi")
+    known = written(known.groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands")), "unsettled-marks")
+    size = known.select("node", F.length("marks").alias("bytes"))
+    rest = rest.join(size, "node").withColumn("other", F.col("component") != F.col("main"))
+
+    def parts(on: F.Column) -> F.Column:
+        many = F.count(F.when(on, 1)) / F.lit(PART)
+        return F.ceil(F.greatest(many, F.sum(F.when(on, F.col("bytes")).otherwise(0)) / F.lit(PART_BYTES))).cast("int")
+
+    dealt = rest.groupBy("bucket").agg(parts(F.col("other")).alias("q"), parts(~F.col("other")).alias("p"))
+    salt = F.xxhash64("node", "bucket")
+    part = F.when(F.col("other"), F.pmod(salt, F.col("q"))).otherwise(F.col("q") + F.pmod(salt, F.col("p"))).cast("int")
+    placed = rest.join(dealt, "bucket").withColumn("part", part)
+    # Parts of the main component meet only those of the others.
+    last = F.when(F.col("other"), F.col("q") + F.col("p")).otherwise(F.col("q")) - 1
+    placed = placed.select("bucket", "node", "component", "part", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    placed = placed.select("bucket", "node", "component", "part", F.least("part", "at").alias("one"), F.greatest("part", "at").alias("two"))
+    return placed.join(known, "node").groupBy("bucket", "one", "two").applyInArrow(_compare_block, "u binary, v binary")
+
+
 def near_copies(documents: DataFrame, text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, row, class_id, kept) of every document. ``row_col`` names a unique string column; without it
     rows are numbered."""
@@ -197,7 +283,12 @@ def near_copies(documents: DataFrame, text_col: str = "text", row_col: str | Non
     rows = documents.select(F.col("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sketches = written(rows.mapInArrow(_sketch, f"doc_id {kind}, row string, node binary, bands array<long>, marks binary"), "sketches")
-    linked = connected_components(links(sketches))
+    members, pivots = buckets(sketches)
+    linked = connected_components(links(sketches, pivot_pairs(members, pivots)))
+    rest = written(unsettled(members, pivots, linked), "unsettled")
+    if not rest.isEmpty():
+        more = block_links(rest, sketches)
+        linked = connected_components(linked.toDF("u", "v").unionByName(more))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
     nodes = sketches.groupBy("node").agg(lead.alias("lead")).join(linked, "node", "left")
     nodes = nodes.select("node", F.coalesce("component", "node").alias("component"), "lead")

@@ -111,6 +111,38 @@ def test_a_large_group_of_copies_makes_few_pairs(spark):
     assert nc.near_copies(df).select("class_id").distinct().count() == 1
 
 
+def _straddling(n, words_, edits, seed):
+    """Variants of one text whose similarities lie on both sides of the threshold."""
+    rng = np.random.default_rng(seed)
+    base = text(words_, seed).split()
+    rows = []
+    for i in range(n):
+        ws = list(base)
+        for _ in range(int(rng.integers(edits[0], edits[1] + 1))):
+            ws[int(rng.integers(words_))] = f"e{int(rng.integers(10**9))}"
+        rows.append((i, " ".join(ws)))
+    return rows
+
+
+def test_a_group_that_straddles_the_threshold_loses_no_pair_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nc, "PART", 16)
+    rows = _straddling(400, 200, (3, 6), 11)
+    found = [nc.shingles(words(t.encode()), nc._KNOWN) for _, t in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(h) for h, _ in found])
+    keys = nc.bands(nc.signatures(*(np.concatenate(a) for a in zip(*found, strict=True)), doc, len(rows)))
+    marks = [nc.expanded(h, c).tobytes() for h, c in found]
+    want = list(range(len(rows)))  # all pairs of a bucket verified
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and (keys[i] == keys[j]).any() and nc.overlap(marks[i], marks[j]) >= nc.THRESHOLD:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in nc.near_copies(df).collect()}
+    assert len(set(want)) > 20
+    assert got == dict(enumerate(want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
