@@ -36,6 +36,10 @@ RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe",
 OUT = {"nav", "footer", "header", "aside", "form", "menu", "button", "dialog", "figcaption", "head", *RAW}
 MAIN = {"article", "main"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What an opening tag ends, if only inline elements, paragraphs and plain divisions are open since.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Block elements that end an open paragraph.
+ENDS_P = set("address article aside blockquote center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id that name what is not the article.
 OUT_NAMES = re.compile(
@@ -86,7 +90,8 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     has_main = any(k == "open" and n in MAIN for k, n, _ in parts)
     blocks: list[str] = []
     block: list[str] = []
-    path: list[tuple[str, bool]] = []  # open elements that bound slots, and whether they are no text
+    path: list[tuple[str, bool]] = []  # open elements, and whether they are no text
+    opened: Counter[str] = Counter()
     out = main = 0
 
     def flush() -> None:
@@ -94,6 +99,22 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             blocks.append(text)
         block.clear()
 
+    def pop(at: int) -> None:
+        nonlocal out, main
+        while len(path) > at:
+            last, drop = path.pop()
+            opened[last] -= 1
+            out -= drop
+            main -= last in MAIN
+
+    def end(names: set[str], through: set[str]) -> None:
+        """Close the innermost of ``names`` with what is in it, if only elements of ``through`` are."""
+        for at in range(len(path) - 1, -1, -1):
+            if path[at][0] in names:
+                return pop(at)
+            if path[at][0] not in through:
+                return None
+
     for kind, name, content in parts:
         if kind == "text":
             if not out and (main or not has_main):
@@ -104,25 +125,33 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             block.append(" ")
         elif name not in INLINE:
             flush()
-        if kind == "open" and name not in VOID:
+        if kind == "open":
+            if name in ENDS_P and opened["p"]:
+                end({"p"}, INLINE)
+            if name in ENDS and any(opened[n] for n in ENDS[name]):
+                end(ENDS[name], INLINE | {"p", "div", "address"})
+            if name in VOID:
+                continue
+            drop = False
             if name in MAIN:
                 # An article ends whatever was left open before it, such as an advert without its end.
                 if not main:
                     path, out = [p for p in path if not p[1]], 0
+                    opened = Counter(p[0] for p in path)
                 main += 1
-                path.append((name, False))
             else:
                 drop = (name in OUT and not (name == "header" and main)) or bool(content and OUT_NAMES.search(" ".join(x.split("=", 1)[-1] for x in content.split())))
-                if drop or out or _key(kind, name, content) in template:
-                    path.append((name, drop))
-                    out += drop
-        elif kind == "close" and any(p[0] == name for p in path):
-            while path:
-                last, drop = path.pop()
-                out -= drop
-                main -= last in MAIN
-                if last == name:
-                    break
+                out += drop
+            path.append((name, drop))
+            opened[name] += 1
+        elif kind == "close" and opened[name]:
+            at = next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == name)
+            if name in INLINE and any(p[0] not in INLINE for p in path[at + 1 :]):
+                # The end of an inline element leaves blocks opened in it open.
+                out -= path.pop(at)[1]
+                opened[name] -= 1
+            else:
+                pop(at)
     flush()
     return " ".join(blocks)
 

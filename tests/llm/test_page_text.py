@@ -48,3 +48,19 @@ def test_odd_pages(spark):
 def test_query_returns_code_points(spark, sf):
     for r in pt.op7_page_text(spark, sf).collect():
         assert r.n_chars == len(r.text) and "&amp;" not in r.text and r.text == " ".join(r.text.split())
+
+
+def test_closing_tags_end_their_own_elements(spark):
+    page = "<html><body><div id='page'><article><p>one {i}</p>{own}<p>three {i}</p></article><div class='ad'>buy</div></div></body></html>"
+    rows = [(i, "http://a/x", page.replace("{own}", "".join(f"<div>two {j}.{i}</div>" for j in range(1 + i % 3))).replace("{i}", str(i))) for i in range(6)]
+    assert run(spark, rows) == {i: " ".join([f"one {i}", *[f"two {j}.{i}" for j in range(1 + i % 3)], f"three {i}"]) for i in range(6)}
+
+
+def test_elements_left_open_do_not_end_the_article():
+    for page in (
+        "<p>out<article>one <p>two</p></p> three</article>",  # the article ends the paragraph before it
+        "<b>out<article>one</b> <p>two</p> three</article>",
+        "<article>one<ul><li class='share'>x<li>two</ul>three</article>",
+        "<article><span>one<p>two</span></p>three</article>",
+    ):
+        assert pt.main_text(page, set()).split() == ["one", "two", "three"], page
