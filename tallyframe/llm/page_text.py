@@ -6,7 +6,9 @@ up in parts) form a class. A class is valid if its tokens occur once on each pag
 of the host's pages at least; the tags of valid classes, nested, are the host's template, and their texts are its
 constant words. The template cuts a page into slots. Slots below navigation, headers, footers, asides, forms,
 notices, adverts, comments, scripts or styles are not text; if the template or the page has an article, its
-other slots are the text, else all that is left without constant words is.
+other slots are the text, else all that is left without constant words is. In an article, a block of the template
+with a class, id or role goes if all its texts are constant words, unless nothing would be left; constant words
+elsewhere in it, such as a phrase all articles share, stay.
 
 Blocks are joined in page order by one space, character references are decoded, white space inside a block is
 one space. A null page is empty and gives the empty text. Rows without a url form one host. Pages repeated are
@@ -90,9 +92,11 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     has_main = any(k == "open" and n in MAIN for k, n, _ in parts)
     blocks: list[str] = []
     block: list[str] = []
-    path: list[tuple[str, bool]] = []  # open elements, and whether they are no text
+    cut: list[int] = []  # blocks of constant slots
+    # Open elements, whether they are no text, and of slots in the article the first block and what varied before.
+    path: list[tuple[str, bool, tuple[int, int] | None]] = []
     opened: Counter[str] = Counter()
-    out = main = 0
+    out = main = slots = varied = 0
 
     def flush() -> None:
         if text := " ".join("".join(block).split()):
@@ -100,10 +104,14 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
         block.clear()
 
     def pop(at: int) -> None:
-        nonlocal out, main
+        nonlocal out, main, slots
         while len(path) > at:
-            last, drop = path.pop()
+            last, drop, slot = path.pop()
             opened[last] -= 1
+            if slot is not None:
+                slots -= 1
+                if slot[1] == varied:
+                    cut.extend(range(slot[0], len(blocks)))
             out -= drop
             main -= last in MAIN
 
@@ -118,6 +126,8 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     for kind, name, content in parts:
         if kind == "text":
             if not out and (main or not has_main):
+                if slots and not content.isspace() and _key(kind, name, content) not in template:
+                    varied += 1
                 if main or content.isspace() or _key(kind, name, content) not in template:
                     block.append(html.unescape(content))
             continue
@@ -132,7 +142,7 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
                 end(ENDS[name], INLINE | {"p", "div", "address"})
             if name in VOID:
                 continue
-            drop = False
+            drop, slot = False, None
             if name in MAIN:
                 # An article ends whatever was left open before it, such as an advert without its end.
                 if not main:
@@ -142,7 +152,10 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             else:
                 drop = (name in OUT and not (name == "header" and main)) or bool(content and OUT_NAMES.search(" ".join(x.split("=", 1)[-1] for x in content.split())))
                 out += drop
-            path.append((name, drop))
+                if main and not out and content and name not in INLINE and _key(kind, name, content) in template:
+                    slot = (len(blocks), varied)
+                    slots += 1
+            path.append((name, drop, slot))
             opened[name] += 1
         elif kind == "close" and opened[name]:
             at = next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == name)
@@ -153,7 +166,8 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             else:
                 pop(at)
     flush()
-    return " ".join(blocks)
+    gone = set(cut)
+    return " ".join([b for i, b in enumerate(blocks) if i not in gone] or blocks)
 
 
 def host_of(url: Column) -> Column:

@@ -64,3 +64,11 @@ def test_elements_left_open_do_not_end_the_article():
         "<article><span>one<p>two</span></p>three</article>",
     ):
         assert pt.main_text(page, set()).split() == ["one", "two", "three"], page
+
+
+def test_constant_slots_go_inside_an_article_too(spark):
+    page = "<html><body><article><h1>story {i}</h1><div class='xq'><p>Get our app</p> <b>now</b></div><div class='lead'>By the way, <i>{i}</i></div><p>As always</p></article></body></html>"
+    rows = [(i, "http://a/x", page.replace("{i}", str(i))) for i in range(6)]
+    assert run(spark, rows) == {i: f"story {i} By the way, {i} As always" for i in range(6)}
+    same = "<html><body><article><div class='xq'>whole text</div></article></body></html>"  # copies of a page keep their text
+    assert run(spark, [(i, "http://a/x", same) for i in range(6)]) == dict.fromkeys(range(6), "whole text")
