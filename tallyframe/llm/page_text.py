@@ -34,8 +34,10 @@ MOST_TEMPLATE_TOKENS = 1_000_000
 LEAST_SHARE = 10  # one page in so many
 
 # The names of elements.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select")
-OUT = {"nav", "footer", "header", "aside", "form", "menu", "button", "dialog", "figcaption", "head", *RAW}
+#: What these hold is no text: the first run to their end or the page's, the others to their end, if there is one.
+ENDLESS = ("script", "style", "textarea", "title")
+RAW = (*ENDLESS, "noscript", "template", "iframe", "svg", "select")
+OUT = {"nav", "footer", "header", "aside", "form", "menu", "button", "dialog", "head", *RAW}
 MAIN = {"article", "main"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What an opening tag ends, if only inline elements, paragraphs and plain divisions are open since.
@@ -49,8 +51,9 @@ OUT_NAMES = re.compile(
     re.I,
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>", re.S | re.I
 )
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _NAME = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
@@ -59,12 +62,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, content) in page order: kinds open, close, raw and text. For open tags the content is the
     class and id; comments and declarations are left out."""
     at = 0
-    for m in _TOKEN.finditer(page):
+    unended: set[str] = set()  # names of RAW with no end in the rest of the page
+    while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             yield "text", "", page[at : m.start()]
         at, tag = m.end(), m[0]
         if m["raw"]:
-            yield "raw", m["raw"].lower(), ""
+            raw = m["raw"].lower()
+            if raw in ENDLESS or not tag.endswith("/>"):
+                stop = None if raw in unended else _END[raw].search(page, at)
+                if stop is not None:
+                    at = stop.end()
+                else:
+                    unended.add(raw)
+                    at = len(page) if raw in ENDLESS else at
+            yield "raw", raw, ""
         elif (name := _NAME.match(tag)) is not None:
             if tag[1] == "/":
                 yield "close", name[1].lower(), ""

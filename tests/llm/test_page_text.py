@@ -72,3 +72,9 @@ def test_constant_slots_go_inside_an_article_too(spark):
     assert run(spark, rows) == {i: f"story {i} By the way, {i} As always" for i in range(6)}
     same = "<html><body><article><div class='xq'>whole text</div></article></body></html>"  # copies of a page keep their text
     assert run(spark, [(i, "http://a/x", same) for i in range(6)]) == dict.fromkeys(range(6), "whole text")
+
+
+def test_captions_stay_and_raw_elements_end_where_they_do():
+    for tag in ("<svg class='i' />", "<iframe src='x'/>", "<svg><text>no</text></svg>", "<noscript>", "<select>", "<template/>"):
+        assert pt.main_text(f"<article>one {tag} two<figure><img src='x'><figcaption>three</figcaption></figure></article>", set()) == "one two three", tag
+    assert pt.main_text("<article>one <script src='x'/> two</article>", set()) == "one"
