@@ -8,8 +8,8 @@ compared exactly in double precision.
 
 A task returns at most one row for each vector of its two blocks: how many links it has, and a root in the
 block pair's own components, so that dense groups never become pairs of rows. Equal vectors count as one with
-a weight. Null and zero vectors, those with null or non-finite components, and those that have not the most
-common length of the table link with nothing.
+a weight. Vectors link only with those of their length; the join runs once for each length of the table. Null and
+zero vectors and those with null or non-finite components link with nothing.
 """
 
 from __future__ import annotations
@@ -33,20 +33,17 @@ LEADING = 8
 _SHIFT = 20
 
 
-def _vectors(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            keys, raw = [], []
-            for v in columns(batch, ["vector"])[0].to_pylist():
-                x = np.array(v, np.float64) if v is not None and len(v) == width and None not in v else None
-                ok = x is not None and np.isfinite(x).all() and np.isfinite(n := float(x @ x)) and n > 0
-                raw.append(x.tobytes() if ok else None)
-                keys.append(hashlib.sha256(raw[-1]).digest()[:16] if ok else None)
-            yield pa.RecordBatch.from_arrays(
-                [*columns(batch, ["vec_id"]), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "raw"]
-            )
-
-    return run
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 4096):
+        keys, raw = [], []
+        for v in columns(batch, ["vector"])[0].to_pylist():
+            x = np.array(v, np.float64) if v is not None and None not in v else None
+            ok = x is not None and np.isfinite(x).all() and x.any()
+            raw.append(x.tobytes() if ok else None)
+            keys.append(hashlib.sha256(raw[-1]).digest()[:16] if ok else None)
+        yield pa.RecordBatch.from_arrays(
+            [*columns(batch, ["vec_id"]), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "raw"]
+        )
 
 
 def _units(raw: list[bytes], width: int) -> np.ndarray:
@@ -198,16 +195,9 @@ def block_pairs(boxes: DataFrame, reach: float, widest: int = 64, fan_bits: int
     return found
 
 
-def link_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, leading: int = LEADING) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    common = rows.where("size(vector) > 0").groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = common["w"] if common else 1
+def links_of_width(distinct: DataFrame, width: int, threshold: float, leading: int) -> DataFrame:
+    """(key, n, root) of the vectors of one length, a row for each block pair in which a vector has links."""
     leading = min(leading, width)
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    rows = written(rows.mapInArrow(_vectors(width), f"vec_id {kind}, key binary, raw binary"), "vectors")
-    distinct = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.first("raw").alias("raw"))
-    distinct = written(distinct, "distinct-vectors")
     axes = principal_axes(distinct, width, leading)
     edge = float(np.sqrt(max(2 - 2 * threshold, 1e-12)))
 
@@ -244,7 +234,21 @@ def link_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, leading: i
                 )
 
     side = lambda s: blocks.select(F.col("block").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("raws").alias(f"raws_{s}"), F.col("weights").alias(f"weights_{s}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "key binary, n long, root binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "key binary, n long, root binary")
+
+
+def link_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, leading: int = LEADING) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    rows = written(rows.mapInArrow(_vectors, f"vec_id {kind}, key binary, raw binary"), "vectors")
+    distinct = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.first("raw").alias("raw"))
+    distinct = written(distinct, "distinct-vectors")
+    width = (F.length("raw") / 8).cast("int")
+    widths = sorted(r.w for r in distinct.select(width.alias("w")).distinct().collect()) or [1]
+    found = links_of_width(distinct.where(width == widths[0]), widths[0], threshold, leading)
+    for w in widths[1:]:
+        found = found.unionByName(links_of_width(distinct.where(width == w), w, threshold, leading))
     found = written(found, "vector-links")
     parts = connected_components(found.select(F.col("key").alias("u"), F.col("root").alias("v")), "vector-components")
     counted = found.groupBy("key").agg(F.sum("n").alias("n"))

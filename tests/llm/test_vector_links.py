@@ -69,3 +69,12 @@ def test_all_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in vl.link_vectors(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert vl.link_vectors(df.limit(0)).count() == 0
+
+
+def test_every_length_links_and_no_finite_vector_is_left_out(spark):
+    data = [(i, [1.0, i / 100, 0.0, 0.0]) for i in range(4)] + [(10, [1.0, 0.0]), (11, [2.0, 0.1]), (12, [0.0, 1.0]), (13, [3.0]), (14, [5.0]), (15, [-1.0])]
+    data += [(20, [1e300, 0.0, 0.0]), (21, [1e-300, 0.0, 0.0]), (22, [0.0, 5e-324, 0.0]), (23, [0.0, 1.7e308, 1e300])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vl.link_vectors(df).collect()}
+    want = {i: (3, 0) for i in range(4)} | {10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (1, 13), 14: (1, 13), 15: (0, 15)}
+    assert got == want | {20: (1, 20), 21: (1, 20), 22: (1, 22), 23: (1, 22)}
