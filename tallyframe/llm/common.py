@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound so that memory stays flat on any vocabulary."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 
@@ -57,17 +58,9 @@ class WordHashes(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's, or one of our own where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        import tempfile
-
-        top = f"file://{tempfile.mkdtemp(prefix='tallyframe-')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return top
+    """The folder that all executors share: the cluster's for checkpoints, or the warehouse where none is set."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -100,11 +93,21 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches small enough that what is made of one stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, of: str | tuple[str, ...] = (), most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most and, one row at least, of about ``most`` bytes in the columns
+    ``of``, so that what is made of one stays small."""
+    names = (of,) if isinstance(of, str) else of
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.full(batch.num_rows, 64, np.int64)
+        for values in columns(batch, list(names)):
+            size += pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        stop, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            n = rows
+            if names:
+                n = min(rows, max(1, int(np.searchsorted(stop, (stop[at - 1] if at else 0) + most, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 def columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
@@ -113,3 +116,27 @@ def columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
 
 def strings(df: DataFrame, column: str) -> F.Column:
     return df[column].cast(T.StringType())
+
+
+#: Parts that the rows of one key are dealt to where many rows meet one.
+SALTS = 64
+
+
+def salt(*by: str) -> Column:
+    """The part that a row is dealt to."""
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def private(taken: list[str], name: str) -> str:
+    """A column name that no column in ``taken`` clashes with, case aside."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def renamed(df: DataFrame, carry: list[str], added: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns under places as names, for operators that carry them beside columns of their own,
+    and the names to give back: those of ``carry``, then of ``added``."""
+    places = {c: f"__c{i}__" for i, c in enumerate(df.columns)}
+    return df.toDF(*places.values()), [places[c] for c in carry]

@@ -53,7 +53,7 @@ def word_counts(documents: DataFrame, vocabulary: set[bytes], text_col: str = "t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, "text"):
             for t in texts(batch, "text"):
                 seen.update([w for w in words(t) if w in vocabulary])
         yield pa.RecordBatch.from_arrays(
@@ -139,7 +139,7 @@ def match(
 def _matcher(shipped, keep: list[str], text_col: str, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, windows = shipped.value
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, text_col):
             earlier = columns(batch, ["dc_spans", "dc_items"]) if "dc_spans" in batch.schema.names else None
             n_words, spans, items = [], [], []
             for row, text in enumerate(texts(batch, text_col)):

@@ -113,7 +113,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256, "text"):
             rows = [grams(t) for t in texts(batch, "text")]
             at = [np.flatnonzero(c) for c in rows]
             yield pa.RecordBatch.from_arrays(
@@ -168,7 +168,7 @@ def predict(documents: DataFrame, model: Model | None, carry: list[str], text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, text_col):
             got = [model.predict(grams(t)) if model and has_letter(t) else (UNKNOWN, 0.0) for t in texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays(
                 [

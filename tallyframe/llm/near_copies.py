@@ -34,6 +34,8 @@ from tallyframe.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
+#: Shingles whose processes run at once, and bytes of text sketched at once: they bound a worker's memory.
+CHUNK, SKETCH_BYTES = 1 << 18, 1 << 20
 #: Members and bytes of marks of a part of a bucket; two parts make a block.
 PART, PART_BYTES = 128, 1 << 23
 #: Up to so many unsettled nodes are broadcast to pick their marks; more are joined by key.
@@ -67,8 +69,14 @@ def _seeded(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """(docs, REGISTERS) least positions. ``doc`` ascends and names the document of each shingle."""
-    least = np.full(docs * REGISTERS, np.inf)
-    top = np.full(docs, np.inf)
+    least, top = np.full(docs * REGISTERS, np.inf), np.full(docs, np.inf)
+    for at in range(0, len(hashes), CHUNK):
+        _descend(hashes[at : at + CHUNK], counts[at : at + CHUNK], doc[at : at + CHUNK], least, top)
+    return least.reshape(docs, REGISTERS)
+
+
+def _descend(hashes: np.ndarray, counts: np.ndarray, doc: np.ndarray, least: np.ndarray, top: np.ndarray) -> None:
+    """Lowers ``least`` by the processes of some shingles; ``top`` is the highest register of each document."""
     parts = []
     level, low, size = 0, 0, 1
     most = int(counts.max(initial=0))
@@ -79,35 +87,42 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: in
         parts.append((doc[on], seed, np.full(len(on), low), np.full(len(on), size), x / (REGISTERS * size), k, counts[on]))
         low, level = low + size, level + 1
         size = low
-    if not parts:
-        return least.reshape(docs, REGISTERS)
-    d, seed, lo, n, x, k, w = (np.concatenate(p) for p in zip(*parts, strict=True))
+    singles = []
+    d, seed, lo, n, x, k, w = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 7
     while len(d):
         full = lo + n <= w
-        np.minimum.at(least, d[full] * REGISTERS + k[full], x[full])
-        live = np.unique(d)
-        top[live] = least.reshape(docs, REGISTERS)[live].max(axis=1)
-        go = x <= top[d]
-        d, seed, lo, n, x, k, w = (a[go] for a in (d, seed, lo, n, x, k, w))
-        one = n == 1
-        out = []
-        if one.any():
-            s = mix64(seed[one] ^ _NEXT)
-            step, reg = _seeded(s)
-            out.append((d[one], s, lo[one], n[one], x[one] + step / REGISTERS, reg, w[one]))
-        if not one.all():
-            two = ~one
-            d2, s2, n2, x2, w2 = d[two], seed[two], n[two] // 2, x[two], w[two]
-            right = (mix64(s2 ^ _HALF) >> np.uint64(63)).astype(np.int64)
-            same = lo[two] + right * n2
-            out.append((d2, mix64(s2 + right.astype(np.uint64) + np.uint64(1)), same, n2, x2, k[two], w2))
-            other = mix64(s2 + (1 - right).astype(np.uint64) + np.uint64(1))
-            step, reg = _seeded(other)
-            out.append((d2, other, lo[two] + (1 - right) * n2, n2, x2 + step / (REGISTERS * n2), reg, w2))
-        d, seed, lo, n, x, k, w = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (d, seed, lo, n, x, k, w)
+        _lower(least, top, d[full] * REGISTERS + k[full], x[full])
         go = (lo < w) & (x <= top[d])
         d, seed, lo, n, x, k, w = (a[go] for a in (d, seed, lo, n, x, k, w))
-    return least.reshape(docs, REGISTERS)
+        one = n == 1
+        singles.append((d[one], seed[one], x[one]))
+        d, seed, lo, n, x, k, w = (a[~one] for a in (d, seed, lo, n, x, k, w))
+        n = n // 2
+        right = (mix64(seed ^ _HALF) >> np.uint64(63)).astype(np.int64)
+        other = mix64(seed + (1 - right).astype(np.uint64) + np.uint64(1))
+        step, reg = _seeded(other)
+        halves = (
+            (d, mix64(seed + right.astype(np.uint64) + np.uint64(1)), lo + right * n, n, x, k, w),
+            (d, other, lo + (1 - right) * n, n, x + step / (REGISTERS * n), reg, w),
+        )
+        d, seed, lo, n, x, k, w = (np.concatenate(p) for p in zip(*halves, strict=True))
+    # What is left goes on point by point, many at once where few processes are left.
+    d, seed, x = (np.concatenate(p) for p in zip(*singles, strict=True)) if singles else [np.zeros(0, np.int64)] * 3
+    passed = 0
+    while len(d):
+        ahead = np.arange(passed + 1, passed + 1 + min(64, max(1, CHUNK // (2 * len(d)))), dtype=np.uint64)
+        step, reg = _seeded(seed[:, None] ^ ahead * _NEXT)
+        xs = x[:, None] + np.cumsum(step, axis=1) / REGISTERS
+        reg += d[:, None] * REGISTERS
+        low = xs <= top[d][:, None]
+        _lower(least, top, reg[low], xs[low])
+        go = xs[:, -1] <= top[d]
+        d, seed, x, passed = d[go], seed[go], xs[go, -1], passed + len(ahead)
+
+
+def _lower(least: np.ndarray, top: np.ndarray, places: np.ndarray, points: np.ndarray) -> None:
+    np.minimum.at(least, places, points)
+    np.max(least.reshape(-1, REGISTERS), axis=1, out=top)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -130,7 +145,7 @@ _KNOWN = WordHashes()
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 256):
+    for batch in slices(batches, 2048, "text", SKETCH_BYTES):
         found, nodes = [], []
         for t, row in zip(texts(batch, "text"), columns(batch, ["row"])[0].to_pylist(), strict=True):
             ws = words(t)
@@ -170,7 +185,7 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 512):
+    for batch in slices(batches, 512, ("ma", "mb"), 1 << 22):
         a, b = columns(batch, ["ma", "mb"])
         good = [overlap(x.as_py(), y.as_py()) >= THRESHOLD for x, y in zip(a, b, strict=True)]
         yield pa.RecordBatch.from_arrays(columns(batch, ["u", "v"]), names=["u", "v"]).filter(pa.array(good, pa.bool_()))

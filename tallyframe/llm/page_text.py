@@ -190,7 +190,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, token) of the valid classes of every host. ``pages`` has host and html."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, "html"):
             found: dict[tuple[str, int], list[int]] = {}
             for host, t in zip(columns(batch, ["host"])[0].to_pylist(), texts(batch, "html"), strict=True):
                 page = xxhash.xxh3_128_intdigest(t or b"")

@@ -27,13 +27,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import columns, mix64, texts, unit
+from tallyframe.llm.common import columns, mix64, slices, texts, unit
 
 SPACE = "▁"
 #: Draws for each text.
@@ -344,18 +343,6 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text at most, one row at least."""
-    for batch in batches:
-        length = pc.fill_null(pc.binary_length(columns(batch, [column])[0]), 0)
-        size = np.cumsum(length.to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-        at = 0
-        while at < batch.num_rows:
-            n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")) - at)
-            yield batch.slice(at, n)
-            at += n
-
-
 def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """For every document one row for each draw: ``carry``, then sg_rank (from 0), sg_ids, sg_log_p,
     sg_log_inclusion and sg_round_trip (the ids decode to the text)."""
@@ -369,7 +356,7 @@ def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model_path)
-        for batch in _by_size(batches, "sg_text", 4_000_000):
+        for batch in slices(batches, 1 << 20, "sg_text", 4_000_000):
             own = [(t or b"").decode(errors="replace") for t in texts(batch, "sg_text")]
             keys = [str(k).encode() for k in columns(batch, [key_col])[0].to_pylist()]
             at, rank, ids, log_p, inclusion, good = [], [], [], [], [], []

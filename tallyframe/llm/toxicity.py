@@ -51,7 +51,7 @@ class Lookup(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         got = tuple(self.places[f] for f in features_of(word) if f in self.places)
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = got
         return got
@@ -102,7 +102,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
         n = [0, 0]
-        for batch in slices(batches):
+        for batch in slices(batches, 256, "text"):
             for t, y in zip(texts(batch, "text"), batch.column(1).to_pylist(), strict=True):
                 n[y > 0] += 1
                 seen[y > 0].update({f for w in set(words(t)) for f in features_of(w)})
@@ -131,7 +131,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Mo
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(places)
-        for batch in slices(batches):
+        for batch in slices(batches, 256, "text"):
             found = [evidence(t, lookup) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -200,7 +200,7 @@ def score(documents: DataFrame, model: Model | None, carry: list[str], text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         one = model.scorer() if model else None
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, text_col):
             if model:
                 p = model.grades(np.array([one(t) for t in texts(batch, text_col)]))
             else:
