@@ -6,7 +6,9 @@ spend never exceeds the budget. The order of an item's chains is kept in one row
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,21 +60,26 @@ def token_budgets(samples: DataFrame, by: list[str], reference: str, multiples:
     return got.select(*by, "multiple", budget.alias("budget"), "room", (budget <= F.col("room") * slack).alias("kept"))
 
 
-def early_stop(samples: DataFrame, key: list[str], window: int = 4, order: Column | None = None) -> DataFrame:
-    """Chains up to the first at which the last ``window`` agree, or all; as rows of samples with their position."""
-    placed = Window.partitionBy(*key).orderBy(F.col("idx") if order is None else order)
-    same = F.lit(True)
-    for i in range(1, window):
-        same = same & F.coalesce(F.lag("cls", i).over(placed) == F.col("cls"), F.lit(False))
-    marked = samples.withColumns({"pos": F.row_number().over(placed) - 1, "_same": same})
-    stop = F.min(F.when(F.col("_same"), F.col("pos"))).over(Window.partitionBy(*key))
-    return marked.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("pos") <= F.col("_stop"))).drop("_same", "_stop")
+def early_stop(chains: Column, budget: Column, window: int = 4) -> Column:
+    """struct(spent, taken, done): chains in order that the budget allows, others skipped, until the last ``window`` taken
+    are of one class."""
+    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast(f"array<{CHAIN}>").alias("taken"), F.lit(False).alias("done"))
+
+    def step(acc: Column, c: Column) -> Column:
+        spent, taken = acc["spent"] + c["tok"], F.concat(acc["taken"], F.array(c))
+        last = F.slice(taken, -window, window)
+        agreed = F.when(F.size(taken) >= window, F.size(F.array_distinct(F.transform(last, lambda x: x["cls"]))) == 1).otherwise(False)
+        grown = F.struct(spent.alias("spent"), taken.alias("taken"), agreed.alias("done"))
+        return F.when(acc["done"] | (spent > budget), acc).otherwise(grown)
+
+    return F.aggregate(chains, start, step)
 
 
 def round_robin(df: DataFrame, budget_col: str = "budget", adaptive: int | None = None) -> DataFrame:
     """Spreads each row's budget over its configurations: turn by turn, each takes its next chain that fits.
-    ``chains`` maps configurations to ordered chains. With ``adaptive``, that many chains of each are probed first, and
-    if their modes agree the rest goes to the first configuration alone. Returns spent and taken in place of chains."""
+    ``chains`` maps configurations to ordered chains. With ``adaptive``, the first so many of each are probed first: if the
+    modes of what fits agree, nothing more is spent, else the rest goes round the configurations that have a mode.
+    Returns spent and taken in place of chains."""
     keep = [c for c in df.columns if c != "chains"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
 
@@ -87,29 +94,25 @@ def round_robin(df: DataFrame, budget_col: str = "budget", adaptive: int | None
 
 
 def _spread(chains: dict, budget: float, adaptive: int | None) -> tuple[int, list]:
-    names = sorted(chains)
-    at = dict.fromkeys(names, 0)
     spent, taken = 0, []
 
-    def turn(name: str) -> bool:
+    def fits(c: dict) -> bool:
         nonlocal spent
-        while at[name] < len(chains[name]):
-            c = chains[name][at[name]]
-            at[name] += 1
-            if spent + c["tok"] <= budget:
-                spent += int(c["tok"])
-                taken.append(c)
-                return True
-        return False
+        if spent + c["tok"] > budget:
+            return False
+        spent += int(c["tok"])
+        taken.append(c)
+        return True
 
+    ahead = {name: iter(chains[name]) for name in sorted(chains)}
     if adaptive:
-        tops = set()
-        for name in names:
-            own = [taken[-1]["cls"] for _ in range(adaptive) if turn(name)]
-            tops.add(max(own, key=lambda c: (own.count(c), -own.index(c))) if own else None)
-        if len(tops) == 1:
-            names = names[:1]
-    while any([turn(name) for name in names]):
+        # What a probe passes over for not fitting is not looked at again.
+        probed = {name: [c["cls"] for c in islice(own, adaptive) if fits(c)] for name, own in ahead.items()}
+        modes = {name: Counter(seen).most_common(1)[0][0] for name, seen in probed.items() if seen}
+        if len(set(modes.values())) == 1:
+            return spent, taken
+        ahead = {name: own for name, own in ahead.items() if name in modes} or ahead
+    while any([any(map(fits, own)) for own in ahead.values()]):
         pass
     return spent, taken
 

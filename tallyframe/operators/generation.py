@@ -57,8 +57,9 @@ def message(role: str, content: Column) -> Column:
 
 
 def lettered(choices: Column) -> Column:
-    """Choices as lines with letters."""
-    return F.array_join(F.transform(choices, lambda c, i: F.concat(F.lit("("), F.substring(F.lit(an.LETTERS), i + 1, F.lit(1)), F.lit(") "), c)), "\n")
+    """Choices as lines with letters, under a heading."""
+    lines = F.transform(choices, lambda c, i: F.concat(F.substring(F.lit(an.LETTERS), i + 1, F.lit(1)), F.lit(". "), c))
+    return F.concat_ws("\n", F.lit("Options:"), lines)
 
 
 def build_prompt(question: Column, choices: Column | None = None, system: str | None = None, instruction: str | None = None, shots: list[tuple[str, str]] | None = None, reverse: bool = False) -> Column:
@@ -128,9 +129,11 @@ def _length(samples: DataFrame) -> Column:
 
 
 def verdict(text: Column) -> Column:
-    """True or false as the last verdict in a text says; null if it says neither."""
-    stated = F.try_element_at(F.regexp_extract_all(F.upper(text), F.lit(r"VERDICT\s*[:\-]?\s*\**\s*(INCORRECT|CORRECT)"), F.lit(1)), F.lit(-1))
-    return F.when(stated.isNotNull(), stated == "CORRECT").when(F.lower(text).contains("incorrect"), False).when(F.lower(text).contains("correct"), True)
+    """What a text says of an answer: its last stated verdict, else a word for wrong before one for right; null if neither."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    stated = F.try_element_at(F.regexp_extract_all(low, F.lit(r"(?U)verdict\s*[:\-]?\s*(correct|incorrect)"), F.lit(1)), F.lit(-1))
+    said = F.when(low.rlike("incorrect|is wrong"), False).when(F.contains(low, F.lit("correct")), True)
+    return F.when(stated.isNull(), said).otherwise(stated == "correct")
 
 
 def tally(calls: DataFrame, by: list[str], group: str) -> DataFrame:

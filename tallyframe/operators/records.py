@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +38,20 @@ def ungraded(records: DataFrame, graded: DataFrame, key: str, version: str, orde
 
 
 def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """Rows numbered from 0 in the order given, without gathering them in one task: ranges are sorted apart, and only
-    their sizes meet."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist(StorageLevel.DISK_ONLY)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    """Rows numbered from 0 in the order given, which must tell rows apart, without gathering them in one task: rows go to
+    ranges of ``order`` whose bounds are read off the table once, and only the ranges' sizes meet. Bounds are values,
+    not samples of a run, so a task that runs again numbers its rows as before."""
+    head = order[0]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(F.col(head), F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000))).first()[0] if parts > 1 else []
+    bounds = sorted(set(cuts or []))
+    rank = F.when(F.col(head).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(head))) if bounds else F.lit(0))
+    dealt = df.withColumn("_part", rank.cast("int"))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return dealt.join(F.broadcast(starts), "_part").withColumn("position", F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", own).join(F.broadcast(starts), "_part").withColumn("position", (F.col("_at") + F.col("_start")).cast("long")).drop("_part", "_at", "_start")
 
 
 def shard(positioned: DataFrame, index: int, count: int) -> DataFrame:
@@ -88,8 +93,19 @@ def paired(records: DataFrame, key: list[str], order: str, side: str, a: str, b:
     return own.groupBy(*key).agg(last(a).alias("a"), last(b).alias("b"), has(a).alias("in_a"), has(b).alias("in_b"))
 
 
-def comparison(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts, accuracies and McNemar's exact test over pairs."""
+def mcnemar(b01: str, b10: str, exact: bool = True) -> tuple[Column, Column, Column]:
+    """Method, statistic and p of McNemar's test; if not ``exact``, the corrected chi-square from 25 discordant pairs on."""
+    n, small = F.col(b01) + F.col(b10), F.least(b01, b10)
+    chi2, p = st.mcnemar_chi2(F.col(b01), F.col(b10))
+    far = F.lit(not exact) & (n >= 25)
+    return (
+        F.when(far, "chi2_1df_continuity_corrected").otherwise("exact_binomial"), F.when(far, chi2).when(n > 0, small.cast("double")),
+        F.when(far, p).otherwise(st.binomial_two_sided(small, n)),
+    )
+
+
+def comparison(pairs: DataFrame, by: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Counts, accuracies and McNemar's test over pairs."""
     both = F.col("in_a") & F.col("in_b")
     got = pairs.groupBy(*(by or [])).agg(
         F.count_if(both).alias("n_pairs"),
@@ -100,8 +116,8 @@ def comparison(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(both & (F.col("a") == 0) & (F.col("b") == 1)).alias("b01"),
         F.count_if(both & (F.col("a") == 1) & (F.col("b") == 0)).alias("b10"),
     )
-    p = st.binomial_two_sided(F.least("b01", "b10"), F.col("b01") + F.col("b10"))
-    return got.withColumns({"delta": F.col("accuracy_b") - F.col("accuracy_a"), "p_value": p})
+    method, statistic, p = mcnemar("b01", "b10", exact)
+    return got.withColumns({"delta": F.col("accuracy_b") - F.col("accuracy_a"), "method": method, "statistic": statistic, "p_value": p})
 
 
 def holm(df: DataFrame, family: list[str], p: str, position: str, alpha: float = 0.05) -> DataFrame:

@@ -54,7 +54,8 @@ w AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, f) AS rn,
 def majority_vote(spark, d):
     t = ad.traces(spark, d).withColumn("answer", an.extract_col(F.col("text"), F.lit("math")))
     per = t.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("idx", "answer"))).alias("xs"))
-    return per.withColumn("v", an.majority_col(F.col("xs.answer"), F.lit("math"))).select("item", "v.answer", "v.votes", "v.second", "v.tie")
+    got = gr.with_vote(per.select("item", F.col("xs.answer").alias("answers")), "answers", F.lit("math"), out="v")
+    return got.select("item", "v.answer", "v.votes", "v.second", "v.tie")
 
 
 _GRADED = f"""{_VOTES}, gd AS (SELECT item, count(*) AS n_samples_graded, count(*) FILTER (cls = gold) AS n_correct_samples, arg_min(cls, idx) = min(gold) AS is_correct, count(*) FILTER (cls = '<unparsed>') AS fails,
@@ -66,6 +67,20 @@ def grade_records(spark, d):
     return gr.grade_records(ad.traces(spark, d), ["item"]).select("item", "n_samples_graded", "n_correct_samples", "is_correct", "vote_answer", "vote_correct")
 
 
+_STORED = """z AS (SELECT o_orderkey AS uid, o_orderkey % 4 AS kind, o_custkey % 7 AS p, o_custkey % 5 AS g, o_orderstatus = 'P' AS errored, o_orderkey % 11 = 0 AS cut, o_orderkey % 3 = 0 AS unnamed FROM orders),
+y AS (SELECT *, CASE kind WHEN 0 THEN CAST(p AS VARCHAR) WHEN 1 THEN chr(CAST(65 + p % 4 AS INT)) WHEN 2 THEN CASE WHEN p % 2 = 0 THEN 'True' ELSE 'False' END ELSE 'word' || p END AS a,
+  CASE kind WHEN 0 THEN CAST(g AS VARCHAR) WHEN 1 THEN chr(CAST(65 + g % 4 AS INT)) WHEN 2 THEN CASE WHEN g % 2 = 0 THEN 'True' ELSE 'False' END ELSE 'word' || g END AS b FROM z)"""
+
+
+@query("grade_stored_records", f"""WITH {_STORED} SELECT uid, CASE WHEN cut THEN concat_ws('|', b, b, a) ELSE concat_ws('|', a, b, a) END AS answers, CAST(3 AS BIGINT) AS n_samples_graded,
+  CAST(CASE WHEN a = b THEN 3 WHEN cut THEN 2 ELSE 1 END AS BIGINT) AS n_correct_samples, CASE WHEN cut THEN b ELSE a END AS vote_answer, cut OR a = b AS vote_correct,
+  CASE WHEN NOT unnamed THEN b WHEN NOT errored AND NOT cut THEN a END AS pred_answer, NOT errored AND coalesce(CASE WHEN NOT unnamed THEN true WHEN NOT cut THEN a = b END, false) AS is_correct, b AS gold_normalized FROM y""")
+def grade_stored_records(spark, d):
+    return gr.grade_stored(ad.stored_records(spark, d)).select(
+        "uid", F.array_join("sample_answers", "|").alias("answers"), "n_samples_graded", "n_correct_samples", "vote_answer", "vote_correct", "pred_answer", "is_correct", "gold_normalized"
+    )
+
+
 @query("grading_summary", f"""WITH {_GRADED} SELECT count(*) AS n_total, count(*) FILTER (is_correct) AS n_correct, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
   round(avg(CASE WHEN vote_class = gold THEN 1.0 ELSE 0.0 END), 6) AS vote_accuracy, CAST(sum(fails) AS BIGINT) AS extraction_failures, round(sum(fails) / CAST(sum(n_samples_graded) AS DOUBLE), 6) AS failure_rate
 FROM gd LEFT JOIN vt USING (item)""")

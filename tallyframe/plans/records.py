@@ -177,6 +177,14 @@ def mcnemar_exact(spark, d):
     return got.select("grp", "n_pairs", "b01", "b10", r6("p_value").alias("p_value"), r6(st.mcnemar_chi2(F.col("b01"), F.col("b10"))[0]).alias("chi2"))
 
 
+@query("mcnemar_corrected", f"""WITH x AS (SELECT doc_id % 3 AS grp, count(*) FILTER (quality = 0 AND toxic = 1) AS b01, count(*) FILTER (quality = 1 AND toxic = 0) AS b10 FROM labels GROUP BY ALL),
+y AS (SELECT *, power(greatest(abs(b01 - b10) - 1, 0), 2) / (b01 + b10) AS chi2 FROM x WHERE b01 + b10 > 0)
+SELECT grp, CASE WHEN b01 + b10 >= 25 THEN 'chi2_1df_continuity_corrected' ELSE 'exact_binomial' END AS method, round(CASE WHEN b01 + b10 >= 25 THEN chi2 ELSE least(b01, b10) END, 6) AS statistic FROM y""")
+def mcnemar_corrected(spark, d):
+    t = ad.table(spark, d, "labels").select((F.col("doc_id") % 3).alias("grp"), F.col("quality").alias("a"), F.col("toxic").alias("b"), F.lit(True).alias("in_a"), F.lit(True).alias("in_b"))
+    return op.comparison(t, ["grp"], exact=False).select("grp", "method", r6("statistic").alias("statistic"))
+
+
 @query("holm_bonferroni", f"""WITH {C}, p AS (SELECT model, config, item, exp(-abs(k - n / 2.0)) AS p FROM c WHERE seed = 0),
 q AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY model, config) - row_number() OVER (PARTITION BY model, config ORDER BY p, item) + 1) * p) AS raw FROM p),
 z AS (SELECT *, max(raw) OVER (PARTITION BY model, config ORDER BY p, item ROWS UNBOUNDED PRECEDING) AS h FROM q)

@@ -12,7 +12,7 @@ from tallyframe.operators import generation as ge
 from tallyframe.operators import transfer as tr
 from tallyframe.plans import inference as inf
 from tallyframe.plans.base_sql import S
-from tallyframe.plans.budgets import BY, _draw_sql, _first_seed
+from tallyframe.plans.budgets import BY, K, _draw_sql
 from tallyframe.plans.cells import CEIL, TR
 from tallyframe.plans.records import TAIL
 from tallyframe.plans.registry import query
@@ -51,18 +51,23 @@ def best_of_n_logprob(spark, d):
     return ge.resolve(ge.STRATEGIES, "best_of_n")(_mock(spark, d), "logprob")
 
 
-@query("build_prompts", """SELECT item_id, md5('system: Be brief.' || chr(10) || 'user: 1+1?' || chr(10) || 'assistant: 2' || chr(10) || 'user: ' || text || chr(10) || chr(10) || '(A) yes' || chr(10) || '(B) no' || chr(10) || chr(10) || 'Answer with a letter.') AS digest FROM benchmark""")
+@query("build_prompts", """SELECT item_id, md5('system: Be brief.' || chr(10) || 'user: 1+1?' || chr(10) || 'assistant: 2' || chr(10) || 'user: ' || text || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || chr(10) || 'Answer with a letter.') AS digest FROM benchmark""")
 def build_prompts(spark, d):
     chat = ge.build_prompt(F.col("text"), F.array(F.lit("yes"), F.lit("no")), "Be brief.", "Answer with a letter.", [("1+1?", "2")])
     return ad.table(spark, d, "benchmark").select("item_id", F.md5(ge.render(chat).cast("binary")).alias("digest"))
 
 
-@query("parse_verdict", "SELECT l_orderkey % 4 AS kind, count(*) AS n, CASE l_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS verdict FROM lineitem GROUP BY ALL")
+_SAYS = (
+    ("VERDICT: INCORRECT ... Verdict: correct", True), ("verdict - incorrect", False), ("this looks incorrect to me", False), ("the sum is wrong, not correct", False),
+    ("Verdict: **correct**", True), ("all correct here", True), ("cannot say", None), ("verdict correct, then VERDICT:incorrect", False),
+)
+
+
+@query("parse_verdict", "SELECT said, count(*) AS n, verdict FROM lineitem JOIN (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else str(v).lower()})" for i, (_, v) in enumerate(_SAYS)) + f") t(said, verdict) ON said = l_orderkey % {len(_SAYS)} GROUP BY ALL")
 def parse_verdict(spark, d):
-    kind = F.col("l_orderkey") % 4
-    text = F.when(kind == 0, "VERDICT: INCORRECT ... Verdict: **correct**").when(kind == 1, "verdict - incorrect").when(kind == 2, "this looks incorrect to me").otherwise("cannot say")
-    t = ad.table(spark, d, "lineitem").select(kind.alias("kind"), ge.verdict(text).alias("verdict"))
-    return t.groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    said = (F.col("l_orderkey") % len(_SAYS)).cast("int")
+    t = ad.table(spark, d, "lineitem").select(said.alias("said"), ge.verdict(F.get(F.array(*[F.lit(x) for x, _ in _SAYS]), said)).alias("verdict"))
+    return t.groupBy("said", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("token_tally", """WITH p AS (SELECT l_suppkey, l_orderkey, max(l_partkey % 100) AS p, sum(l_quantity) AS c FROM lineitem GROUP BY ALL)
@@ -154,9 +159,9 @@ def overlap_excess(spark, d):
     return config.join(seed, "model").select("model", r6("c").alias("j_config"), r6("s").alias("j_seed"), r6(F.col("s") - F.col("c")).alias("excess"))
 
 
-@query("oracle_coverage", f"WITH RECURSIVE {S}, {_draw_sql('200')} SELECT replicate, model, config, item, bool_or(took AND cls = 'gold') AS covered FROM f GROUP BY ALL")
+@query("oracle_coverage", f"WITH RECURSIVE {S}, {_draw_sql('200')} SELECT replicate, {K}, bool_or(took AND cls = 'gold') AS covered FROM f GROUP BY ALL")
 def oracle_coverage(spark, d):
-    pool = bu.pools(_first_seed(spark, d), BY, 3)
+    pool = bu.pools(ad.samples(spark, d), BY, 3)
     got = pool.withColumn("d", bu.take_within(F.col("chains"), F.lit(200)))
     return got.select("replicate", *BY, F.exists("d.taken", lambda c: c["ok"]).alias("covered"))
 

@@ -91,3 +91,28 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("item"), (F.row_number().over(order) - 1).cast("long").alias("idx"), kind.alias("kind"),
         F.col("l_quantity").cast("long").alias("q"), text.alias("text"), (F.col("l_orderkey") % 50 + 1).cast("string").alias("gold"),
     )
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records of four kinds of answer with three traces each, some failed, some cut, some without a final answer."""
+    t = table(spark, sf_dir, "orders")
+    kind, p, g = F.col("o_orderkey") % 4, F.col("o_custkey") % 7, F.col("o_custkey") % 5
+    names = F.array(*[F.lit(x) for x in ("red fox", "blue whale", "green frog", "grey wolf")])
+    letter = lambda x: F.char(65 + x % 4)
+    truth = lambda x: F.when(x % 2 == 0, "yes").otherwise("no")
+    word = lambda x: F.concat(F.lit("word"), x.cast("string"))
+    say = lambda before, x, after="": F.concat(F.lit(before), x.cast("string"), F.lit(after))
+    traces = (
+        F.when(kind == 0, F.array(say("hence \\boxed{", p, "}"), say("so 3 and the answer is ", g, "."), say("steps #### ", p)))
+        .when(kind == 1, F.array(say("I pick (", letter(p), ")"), say("The answer is the ", F.get(names, (g % 4).cast("int"))), say("\\boxed{", letter(p), "}")))
+        .when(kind == 2, F.array(say("Answer: ", truth(p)), say("it is ", truth(g)), say("\\boxed{", truth(p), "}")))
+        .otherwise(F.array(say("The result is ", word(p)), say("\\boxed{", word(g), "}"), say("#### ", word(p))))
+    )
+    gold = F.when(kind == 0, g.cast("string")).when(kind == 1, letter(g)).when(kind == 2, F.when(g % 2 == 0, "True").otherwise("False")).otherwise(word(g))
+    own = F.when(kind == 0, p.cast("string")).when(kind == 1, letter(p)).when(kind == 2, F.when(p % 2 == 0, "True").otherwise("False")).otherwise(word(p))
+    cut = F.col("o_orderkey") % 11 == 0
+    return t.select(
+        F.col("o_orderkey").alias("uid"), gold.alias("gold_answer"), F.get(F.array(*[F.lit(x) for x in ("math", "mc", "bool", "text")]), kind.cast("int")).alias("answer_type"),
+        F.when(kind == 1, names).alias("choices"), traces.alias("reasoning_traces"), F.when(F.col("o_orderkey") % 3 != 0, gold).alias("final_answer"),
+        F.when(F.col("o_orderstatus") == "P", "timed out").alias("error"), F.when(cut, "truncate").alias("trace_policy"), F.when(cut, F.array(gold, gold, own)).alias("stored_answers"),
+    )
