@@ -127,16 +127,8 @@ def salt(*by: str) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
 
 
-def private(taken: list[str], name: str) -> str:
-    """A column name that no column in ``taken`` clashes with, case aside."""
-    have = {t.lower() for t in taken}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
-def renamed(df: DataFrame, carry: list[str], added: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with its columns under places as names, for operators that carry them beside columns of their own,
-    and the names to give back: those of ``carry``, then of ``added``."""
-    places = {c: f"__c{i}__" for i, c in enumerate(df.columns)}
-    return df.toDF(*places.values()), [places[c] for c in carry]
+def renamed(df: DataFrame, carry: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by their places, so that an operator that carries columns of any name beside its
+    own never meets a clash, and the names of ``carry`` there."""
+    places = [f"__c{i}__" for i in range(len(df.columns))]
+    return df.toDF(*places), [places[df.columns.index(c)] for c in carry]

@@ -28,11 +28,88 @@ def test_constant_text_goes_where_there_is_no_article(spark):
     assert run(spark, rows) == {i: f"story {i}" for i in range(6)}
 
 
-def test_classes_share_occurrence_vectors(spark):
-    rows = [(i, "http://a/x", f"<html><body><i>a</i>{'<p>x</p>' * (i + 1)}</body></html>") for i in range(4)]
-    df = pages(spark, rows).select(pt.host_of(pt.F.col("url")).alias("host"), "html")
-    found = {r.token for r in pt.templates(df).collect()}
-    assert pt._key("open", "body", "") in found and pt._key("open", "p", "") not in found
+def brute(hosts):
+    """Texts of pages, a list for each host, deduced with occurrence vectors in full, and their main element and valid tokens."""
+    found = []
+    for pages_ in hosts:
+        seen, shape = [], {}
+        for page in pages_:
+            order, around = [], [0]
+            for kind, key, name, content in pt.walk(page):
+                if kind == "text" and content.strip():
+                    k = pt.text_key(key, content)
+                    shape[k] = (key, "")
+                    order.append((k, len(content)))
+                elif kind in ("open", "close") and name not in pt.INLINE:
+                    if kind == "open":
+                        shape[key] = (around[-1], name, pt._named_out(name, content))
+                        order.append((key, 0))
+                    around = [*around, key] if kind == "open" else around[:-1]
+            seen.append(order)
+        n, vectors = len(pages_), {k: tuple(sum(x == k for x, _ in o) for o in seen) for k in shape}
+        classes = {}
+        for k, v in vectors.items():
+            if max(v) == 1 and sum(v) * 10 >= n:
+                classes.setdefault(v, set()).add(k)
+        valid = set()
+        for v, members in classes.items():
+            kept = {k for k in members if (k > 0 and (sum(m > 0 for m in members) > 1 or sum(v) == n)) or (k < 0 and sum(v) > 2 and 2 * sum(v) >= n)}
+            if len({tuple(k for k, _ in o if k in kept) for o, hit in zip(seen, v, strict=True) if hit}) <= 1:
+                valid |= kept
+        chain = lambda k: [] if not k else [k, *chain(shape[k][0])]
+        inside = lambda k: next((x for x in chain(k) if x in valid), 0)
+        chars = {}
+        for o in seen:
+            for k, size in o:
+                if k < 0:
+                    for x in dict.fromkeys([*[x for x in chain(shape[k][0]) if x in valid], 0]):
+                        chars.setdefault(x, []).append((size, chain(shape[k][0])))
+        def held(x):
+            return sum(size for size, c in chars.get(x, []) if not any(y in valid and shape[y][2] for y in c[: c.index(x) if x else len(c)]))
+        main = 0
+        while not main or shape[main][1] not in pt.MAIN:
+            below = [k for k in valid if k > 0 and inside(shape[k][0]) == main and not shape[k][2]]
+            heads = [k for k in below if shape[k][1] in pt.HEADINGS and not any(t in valid and shape[t][0] == k for t in shape if t < 0)]
+            inner = sorted((-held(k), k) for k in below if shape[k][1] in pt.CONTAINERS)
+            if not inner or (main and heads) or -2 * inner[0][0] < held(main):
+                break
+            main = inner[0][1]
+        main = 0 if main and shape[main][1] in ("html", "body") else main
+        found.append((valid, main, [pt.main_text(p, pt.Template(dict.fromkeys(valid, 1), main)) for p in pages_]))
+    return found
+
+
+def test_deduction_against_brute_force(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    real = {}
+    for r in spark.read.parquet(f"{d}/pages.parquet").collect():
+        real.setdefault(r.url.split("/")[2].lower(), []).append((r.page_id, r.html))
+    shop = "<html><body><div class=top>Shop {i}</div><div class=x><h1>item {i}</h1>{p}<div class=zz>buy now</div></div><div class=rest>{q}</div></body></html>"
+    real["a"] = [(10**6 + i, shop.replace("{p}", "".join(f"<p>text {j} of {i} and more</p>" for j in range(i % 4))).replace("{q}", "<i>y</i>" * (i % 3)).replace("{i}", str(i))) for i in range(12)]
+    real["b"] = [(2 * 10**6 + i, "<div><p>one</p></div>" + ("<ul><li>a</ul><section>b</section>" if i % 2 else "<section>b</section><ul><li>a</ul>")) for i in range(5)]
+    rows = [(k, f"http://{h}/x", page) for h, own in real.items() for k, page in own]
+    plain = pages(spark, rows).select(pt.host_of(pt.F.col("url")).alias("pt_host"), pt.F.col("html").alias("pt_html"))
+    got = {}
+    for r in pt.templates(plain).collect():
+        got.setdefault(r.host, [set(), r.main])[0].add(r.token)
+    texts = run(spark, rows)
+    for (h, own), (valid, main, want) in zip(real.items(), brute([[p for _, p in own] for own in real.values()]), strict=True):
+        assert tuple(got.get(h, [set(), 0])) == (valid, main), h
+        assert [texts[k] for k, _ in own] == want
+    assert texts[10**6 + 5] == "item 5 text 0 of 5 and more" and texts[2 * 10**6] in ("one a b", "one b a")
+
+
+def test_the_template_decides(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").collect()
+    own = {r.page_id: r.text for r in pt.op7_page_text(spark, d).collect()}
+    bare = {r.page_id: pt.main_text(r.html, pt.Template({})) for r in rows}
+    assert sum(own[k] != bare[k] for k in own) > 0.95 * len(own)
+
+
+def deduced(*pages_):
+    """Texts of one host's pages, deduced without Spark."""
+    return brute([list(pages_)])[0][2]
 
 
 def test_odd_pages(spark):
@@ -63,7 +140,7 @@ def test_elements_left_open_do_not_end_the_article():
         "<article>one<ul><li class='share'>x<li>two</ul>three</article>",
         "<article><span>one<p>two</span></p>three</article>",
     ):
-        assert pt.main_text(page, set()).split() == ["one", "two", "three"], page
+        assert deduced(page)[0].split() == ["one", "two", "three"], page
 
 
 def test_constant_slots_go_inside_an_article_too(spark):
@@ -76,5 +153,5 @@ def test_constant_slots_go_inside_an_article_too(spark):
 
 def test_captions_stay_and_raw_elements_end_where_they_do():
     for tag in ("<svg class='i' />", "<iframe src='x'/>", "<svg><text>no</text></svg>", "<noscript>", "<select>", "<template/>"):
-        assert pt.main_text(f"<article>one {tag} two<figure><img src='x'><figcaption>three</figcaption></figure></article>", set()) == "one two three", tag
-    assert pt.main_text("<article>one <script src='x'/> two</article>", set()) == "one"
+        assert deduced(f"<article>one {tag} two<figure><img src='x'><figcaption>three</figcaption></figure></article>")[0] == "one two three", tag
+    assert deduced("<article>one <script src='x'/> two</article>")[0] == "one"
