@@ -38,7 +38,7 @@ def grade_records(traces: DataFrame, key: list[str], kind: str = "math") -> Data
 
 
 def grade_stored(records: DataFrame, key: str = "uid") -> DataFrame:
-    """Grades of raw records (key, gold_answer, answer_type, choices, reasoning_traces, final_answer, error, trace_policy,
+    """Grades of raw records (key, gold_answer, answer_type, choices, traces, final_answer, error, trace_policy,
     stored_answers), one for each, with one shuffle by key.
 
     A record with an error is wrong, not missing. One without a final answer takes what its last trace states, if it
@@ -50,7 +50,7 @@ def grade_stored(records: DataFrame, key: str = "uid") -> DataFrame:
     anew = whole | F.col("stored_answers").isNull()
     rows = records.select(
         key, F.coalesce("gold_answer", F.lit("")).alias("gold"), kind.alias("kind"), "choices", whole.alias("whole"), anew.alias("anew"), "final_answer",
-        F.coalesce(F.when(anew, F.col("reasoning_traces")).otherwise(F.col("stored_answers")), F.array().cast(strings)).alias("said"), F.coalesce(F.col("error") != "", F.lit(False)).alias("errored"),
+        F.coalesce(F.when(anew, F.col("traces")).otherwise(F.col("stored_answers")), F.array().cast(strings)).alias("said"), F.coalesce(F.col("error") != "", F.lit(False)).alias("errored"),
     )
     each = rows.select("*", F.posexplode_outer("said").alias("idx", "one")).drop("said")
     read = an.extract_col(F.when(F.col("anew"), F.col("one")), F.col("kind"), F.col("choices"))

@@ -113,6 +113,6 @@ def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.col("o_orderkey") % 11 == 0
     return t.select(
         F.col("o_orderkey").alias("uid"), gold.alias("gold_answer"), F.get(F.array(*[F.lit(x) for x in ("math", "mc", "bool", "text")]), kind.cast("int")).alias("answer_type"),
-        F.when(kind == 1, names).alias("choices"), traces.alias("reasoning_traces"), F.when(F.col("o_orderkey") % 3 != 0, gold).alias("final_answer"),
+        F.when(kind == 1, names).alias("choices"), traces.alias("traces"), F.when(F.col("o_orderkey") % 3 != 0, gold).alias("final_answer"),
         F.when(F.col("o_orderstatus") == "P", "timed out").alias("error"), F.when(cut, "truncate").alias("trace_policy"), F.when(cut, F.array(gold, gold, own)).alias("stored_answers"),
     )
