@@ -5,8 +5,9 @@ so the one rarest in the corpus is the prefix that a document must hold: documen
 rarest words alone, the word's place in the window bounds where the window could start and end, and the
 words there are compared exactly. Rarity is counted over all documents.
 
-Benchmark windows go to the tasks in blocks under ``BLOCK_CHARS`` characters of benchmark text; a larger
-benchmark makes more passes over the documents, never a larger block.
+Benchmark windows go to the tasks in blocks of about ``BLOCK_CHARS`` characters of benchmark text, filled by running
+size; an item beyond a block is cut into pieces that share a window less a word. A larger benchmark makes more passes
+over the documents, never a larger block.
 
 Null texts have no words. Items without words give no windows; rows without an item id are left out.
 Repeated documents each get their row, repeated items count once.
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import columns, slices, texts, words, written
+from tallyframe.llm.common import columns, renamed, slices, texts, words, written
 
 WINDOW = 8
 #: Characters of benchmark text in one block, which bounds what is sent to a task.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 _STATE = [
     T.StructField("dc_n_words", T.LongType()),
@@ -37,15 +38,36 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _ITEMS = pa.list_(pa.string())
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, list[bytes]]]]:
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items, as (id, words), in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     items = items.where("item is not null and text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = -(-total // block_chars)
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        yield sorted((r.item, words(r.text.encode())) for r in rows)
+    block: list[tuple[str, list[bytes]]] = []
+    size = 0
+    for r in items.toLocalIterator():
+        for piece in pieces(words(r.text.encode()), window, block_chars):
+            more = sum(map(len, piece)) + len(piece)
+            if block and size + more > block_chars:
+                yield sorted(block)
+                block, size = [], 0
+            block.append((r.item, piece))
+            size += more
+    if block:
+        yield sorted(block)
+
+
+def pieces(ws: list[bytes], window: int, chars: int) -> Iterator[list[bytes]]:
+    """Parts of an item under about ``chars`` characters, each window of it in one of them."""
+    at = 0
+    while at < max(1, len(ws) - window + 1):
+        stop, size = at, 0
+        while stop < len(ws) and (size <= chars or stop - at < window):
+            size += len(ws[stop]) + 1
+            stop += 1
+        yield ws[at:stop]
+        if stop >= len(ws):
+            return
+        at = stop - window + 1
 
 
 def word_counts(documents: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
@@ -116,33 +138,33 @@ def match(
     window: int = WINDOW,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Columns ``carry`` of every document, then dc_n_words, dc_spans (word ranges inside windows), dc_items
+    """Columns ``carry`` of every document, whatever their names, then dc_n_words, dc_spans (word ranges inside windows), dc_items
     (sorted ids) and dc_contaminated (``least_items`` items or more)."""
     spark = documents.sparkSession
-    wanted = list(dict.fromkeys([*carry, text_col]))
-    state = documents.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in wanted])
-    blocks = benchmark_blocks(benchmark, block_chars)
+    plain, kept = renamed(documents, carry)
+    state = plain.select(*kept, F.col(plain.columns[documents.columns.index(text_col)]).cast("string").alias("text"))
+    blocks = benchmark_blocks(benchmark, block_chars, window)
     items, ahead = next(blocks, []), True
     while ahead:
         following = next(blocks, None)
         ahead = following is not None
         counts = word_counts(documents, {w for _, ws in items for w in ws}, text_col) if items else {}
         shipped = spark.sparkContext.broadcast(index_windows(items, counts, window))
-        keep = wanted if ahead else carry
+        keep = [*kept, "text"] if ahead else kept
         schema = T.StructType([*[state.schema[c] for c in keep], *_STATE])
-        state = state.mapInArrow(_matcher(shipped, keep, text_col, schema), schema)
+        state = state.mapInArrow(_matcher(shipped, keep, schema), schema)
         state = written(state, "decontaminate") if ahead else state
         items = following
-    return state.withColumn("dc_contaminated", F.size("dc_items") >= least_items)
+    return state.withColumn("dc_contaminated", F.size("dc_items") >= least_items).toDF(*carry, *[f.name for f in _STATE], "dc_contaminated")
 
 
-def _matcher(shipped, keep: list[str], text_col: str, schema: T.StructType):
+def _matcher(shipped, keep: list[str], schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, windows = shipped.value
-        for batch in slices(batches, 1024, text_col):
+        for batch in slices(batches, 1024, "text"):
             earlier = columns(batch, ["dc_spans", "dc_items"]) if "dc_spans" in batch.schema.names else None
             n_words, spans, items = [], [], []
-            for row, text in enumerate(texts(batch, text_col)):
+            for row, text in enumerate(texts(batch, "text")):
                 ws = words(text)
                 found, named = find(ws, probes, windows)
                 if earlier:

@@ -5,6 +5,9 @@ digest; an inner node hashes the range it covers and its up to ``FAN`` children
 at the roots of their archives, then only below nodes that differ, down to the records. Only digests and
 ranges move between tasks, never the payload.
 
+A record that is only at another place is intact: what differs is aligned by digest before it is named, so that a missing
+record leaves the ones after it whole.
+
 A null page or url counts as empty. Rows without an id share archives picked by their digest. Repeated rows
 are records of their own; rows of one id are ordered by digest.
 """
@@ -22,9 +25,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import written
 
 FAN = 16
-PAGES_PER_ARCHIVE = 1024
-#: Archives of rows without an id.
-NAMELESS = 1024
+PAGES_PER_ARCHIVE, _ARCHIVE_BITS = 1024, 10
 SEPARATOR = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -47,10 +48,12 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """(page_id, archive, record) of every page."""
     record = warc_record(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
-    named = F.floor(F.col("page_id") / F.lit(PAGES_PER_ARCHIVE)).cast("long")
-    rows = pages.select("page_id", record.alias("record"))
-    nameless = -1 - F.pmod(F.xxhash64("record"), F.lit(NAMELESS))
-    return rows.select("page_id", F.coalesce(named, nameless).alias("archive"), "record")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
+    # Archives of rows without an id are as many as keep them at about the size of the others; below all named ones.
+    first, loose = rows.agg(F.min("page_id"), F.count_if(F.col("page_id").isNull())).first()
+    below = min(first or 0, 0) >> _ARCHIVE_BITS
+    nameless = F.lit(below - 1) - F.pmod(F.xxhash64("record"), F.lit(loose // PAGES_PER_ARCHIVE + 1))
+    return rows.select("page_id", F.coalesce(F.shiftright("page_id", _ARCHIVE_BITS), nameless).alias("archive"), "record")
 
 
 def leaves(rows: DataFrame) -> DataFrame:
@@ -98,8 +101,8 @@ def height_of(*bottoms: DataFrame, fan: int = FAN) -> int:
 
 
 def audit(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
-    """Places (archive, idx, status) of records that differ: corrupt, missing or extra in ``theirs``. Both are
-    tables of leaves, written."""
+    """Records that differ, as (archive, idx, other, status): their places in ``ours`` and in ``theirs``; corrupt (of one id,
+    with another digest), missing or extra in ``theirs``. Both are tables of leaves, written."""
     height = height_of(ours, theirs, fan=fan)
     a, b = tree(ours, height, fan), tree(theirs, height, fan)
 
@@ -114,9 +117,25 @@ def audit(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
     bad = None
     for level in range(height, -1, -1):
         bad = differing(level, bad)
-        bad = written(bad, "fixity") if level else bad
-    status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("corrupt")
-    return bad.select("archive", "idx", status.alias("status"))
+        bad = written(bad, "fixity")
+    places = bad.select("archive", "idx")
+
+    def side(leaves_: DataFrame, name: str) -> DataFrame:
+        return leaves_.join(places, ["archive", "idx"], "left_semi").select(*[F.col(c).alias(f"{name}_{c}") for c in ("archive", "idx", "page_id", "digest")])
+
+    def aligned(x: DataFrame, y: DataFrame, by: str) -> DataFrame:
+        """Rows of both sides paired by archive and ``by``, equal ones in their order."""
+        nth = lambda z, s: z.withColumn(f"{s}_nth", F.row_number().over(Window.partitionBy(f"{s}_archive", f"{s}_{by}").orderBy(f"{s}_idx")))
+        on = [F.col(f"our_{c}").eqNullSafe(F.col(f"their_{c}")) for c in ("archive", by, "nth")]
+        return nth(x, "our").join(nth(y, "their"), on, "full").drop("our_nth", "their_nth")
+
+    moved = aligned(side(ours, "our"), side(theirs, "their"), "digest")
+    sides = [[c for c in moved.columns if c.startswith(s)] for s in ("our", "their")]
+    lost = moved.where("their_archive is null").select(sides[0])
+    found = moved.where("our_archive is null").select(sides[1])
+    got = aligned(lost, found, "page_id").select(F.coalesce("our_archive", "their_archive").alias("archive"), F.col("our_idx").alias("idx"), F.col("their_idx").alias("other"))
+    status = F.when(F.col("other").isNull(), "missing").when(F.col("idx").isNull(), "extra").otherwise("corrupt")
+    return got.withColumn("status", status)
 
 
 def write_warc(rows: DataFrame, folder: str) -> None:
@@ -174,7 +193,7 @@ def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = pages.withColumn("html", F.when(rotten, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html")))
     ours, theirs = written(leaves(records(pages)), "leaves"), written(leaves(records(replica)), "leaves")
     bad = audit(ours, theirs)
-    out = ours.join(bad, ["archive", "idx"], "left")
+    out = ours.join(bad.where("idx is not null"), ["archive", "idx"], "left")
     return out.select(
         "page_id", "archive", F.col("idx").alias("ordinal"), F.col("start").alias("offset"),
         (F.col("stop") - F.col("start")).alias("length"), F.col("digest").alias("sha256"), F.col("status").isNull().alias("intact"),

@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import columns, slices, texts, words
+from tallyframe.llm.common import columns, renamed, slices, texts, words
 
 PER_LANGUAGE = 800
-#: Languages learned at most: the most frequent ones.
-MOST_LANGUAGES = 200
 BUCKETS, WIDTH = 1 << 13, 16
 TARGET = 0.99
 UNKNOWN = "und"
@@ -105,12 +103,13 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: int,
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     usable = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    found = usable.groupBy("lang").count().collect()
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)
-    share = F.create_map(*[F.lit(v) for r in found for v in (r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000))])
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    shares = documents.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000)) for r in found], "lang string, share int")
+    # A row for each language: about as many as there are languages written.
+    picked = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256, "text"):
@@ -159,20 +158,20 @@ def calibrate(logits: np.ndarray, y: np.ndarray, target: float = TARGET) -> tupl
 
 
 def predict(documents: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``carry`` of every document, then li_lang, li_score and li_accepted."""
-    wanted = list(dict.fromkeys([*carry, text_col]))
-    rows = documents.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in wanted])
+    """Columns ``carry`` of every document, whatever their names, then li_lang, li_score and li_accepted."""
+    plain, kept = renamed(documents, carry)
+    rows = plain.select(*kept, F.col(plain.columns[documents.columns.index(text_col)]).cast("string").alias("text"))
     added = [T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType()), T.StructField("li_accepted", T.BooleanType())]
-    schema = T.StructType([*[rows.schema[c] for c in carry], *added])
+    schema = T.StructType([*[rows.schema[c] for c in kept], *added])
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in slices(batches, 1024, text_col):
-            got = [model.predict(grams(t)) if model and has_letter(t) else (UNKNOWN, 0.0) for t in texts(batch, text_col)]
+        for batch in slices(batches, 1024, "text"):
+            got = [model.predict(grams(t)) if model and has_letter(t) else (UNKNOWN, 0.0) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *columns(batch, carry),
+                    *columns(batch, kept),
                     pa.array([g[0] for g in got], pa.string()),
                     pa.array([g[1] for g in got], pa.float64()),
                     pa.array([g[0] != UNKNOWN and g[1] >= model.least_score if model else False for g in got], pa.bool_()),
@@ -180,7 +179,7 @@ def predict(documents: DataFrame, model: Model | None, carry: list[str], text_co
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*carry, *[f.name for f in added])
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WordHashes, columns, mix64, slices, texts, unit, words, written
+from tallyframe.llm.common import WordHashes, columns, mix64, salt, slices, texts, unit, words, written
 from tallyframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -305,11 +305,13 @@ def near_copies(documents: DataFrame, text_col: str = "text", row_col: str | Non
         more = block_links(rest, sketches)
         linked = connected_components(linked.toDF("u", "v").unionByName(more))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
-    nodes = sketches.groupBy("node").agg(lead.alias("lead")).join(linked, "node", "left")
-    nodes = nodes.select("node", F.coalesce("component", "node").alias("component"), "lead")
-    classes = nodes.groupBy("component").agg(F.min("lead").alias("first"))
-    ends = nodes.join(classes, "component").select("node", "first")
-    return sketches.select("doc_id", "row", "node").join(ends, "node").select(
+    dealt = sketches.select("doc_id", "row", "node", salt("row").alias("part"))
+    nodes = dealt.groupBy("node").agg(lead.alias("lead"), F.collect_set("part").alias("parts")).join(linked, "node", "left")
+    nodes = nodes.select("node", F.coalesce("component", "node").alias("component"), "lead", "parts")
+    classes = nodes.groupBy("component").agg(F.min("lead").alias("first"), F.collect_set(salt("node")).alias("own"))
+    classes = classes.select("component", "first", F.explode("own").alias("own"))
+    ends = nodes.withColumn("own", salt("node")).join(classes, ["component", "own"]).select("node", "first", F.explode("parts").alias("part"))
+    return dealt.join(ends, ["node", "part"]).select(
         "doc_id", "row", F.col("first.doc_id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept")
     )
 

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import salt, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,6 +43,30 @@ RULES = (
 SPAN = "struct<start:int,end:int,ord:int,kind:string>"
 
 
+#: Values folded at once: a fold copies what it has gathered at every step.
+_FOLD = 256
+
+
+def running(values: Column, merge, zero: Column) -> Column:
+    """What comes of merging all values of an array before each of them, in about linear time: folds run within blocks
+    and over the blocks' totals."""
+    kind = "array<int>"
+
+    def fold(xs: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _FOLD).cast("int")), lambda i: F.slice(values, i * _FOLD + 1, F.lit(_FOLD)))
+    totals = F.transform(blocks, lambda xs: F.aggregate(xs, zero, merge))
+    found = F.flatten(F.zip_with(blocks, fold(totals, zero), fold))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast(kind))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule in code points. What lies between matches and the matches alternate, so lengths
     summed up give positions."""
@@ -48,20 +74,14 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
-    steps = F.zip_with(F.arrays_zip(whole.alias("len"), kept.alias("ok")), gaps, lambda m, gap: F.struct(gap.alias("gap"), m["len"].alias("len"), m["ok"].alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    steps = F.zip_with(F.arrays_zip(whole.alias("len"), kept.alias("ok")), gaps, lambda m, gap: F.struct(gap.alias("gap"), F.coalesce(m["len"], F.lit(0)).alias("len"), m["ok"].alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(
-            begin.alias("start"), (begin + x["len"]).alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind")
-        )
-        return F.struct(
-            (begin + F.coalesce(x["len"], F.lit(0))).alias("at"),
-            F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+    def placed(xs: Column) -> Column:
+        before = running(F.transform(xs, lambda x: x["gap"] + x["len"]), lambda p, q: p + q, F.lit(0))
+        begin = F.zip_with(xs, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), F.coalesce(x["ok"], F.lit(False)).alias("ok")))
+        return F.transform(F.filter(begin, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["end"], x["ord"], x["kind"]))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return _let(steps, placed).cast(f"array<{SPAN}>")
 
 
 def address(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,8 +133,8 @@ def scan_versions(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings (id, blob, spans) of every version, and the scan's own (blob, scanned, spans) to add to the
     ledger and to the findings of earlier scans. Give ``findings`` (blob, spans) of those with ``ledger``."""
-    addressed = address(versions, id_col, text_col)
-    scanned = scan_blobs(distinct_blobs(addressed), ledger, rules)
+    addressed = address(versions, id_col, text_col).withColumn("part", salt(id_col))
+    scanned = written(scan_blobs(distinct_blobs(addressed), ledger, rules), "scanned-blobs")
     found = scanned.where(F.size("spans") > 0).select("blob", "spans")
     if findings is not None:
         found = (
@@ -122,32 +142,49 @@ def scan_versions(
             .groupBy("blob")
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
         )
-    back = addressed.select(id_col, "blob").join(found, "blob", "left")
+    # A content may have very many paths: its findings meet them in the parts that they are dealt to.
+    parts = addressed.groupBy("blob").agg(F.collect_set("part").alias("parts"))
+    found = found.join(parts, "blob").select("blob", "spans", F.explode("parts").alias("part"))
+    back = addressed.select(id_col, "blob", "part").join(found, ["blob", "part"], "left")
     none = F.array().cast(f"array<{SPAN}>")
     return back.select(id_col, "blob", F.coalesce("spans", none).alias("spans")), scanned
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every maximal run of overlapping spans replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every maximal run of overlapping spans, in order of their starts, replaced by ``mask``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.struct(
-            s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out")
-        )
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
+    def cut(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda s: s["end"]), lambda p, q: F.greatest(p, q), F.lit(0))
+        begun = F.filter(F.zip_with(xs, ends, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+        pieces = F.transform(begun, lambda s: F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), F.lit(mask)))
+        last = F.array_max(F.transform(xs, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
 
-    rest = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(rest["out"], F.substring(text, rest["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(spans, cut)).otherwise(text)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scan_history(snapshots: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings (id, blob, spans) of the snapshots of a history, oldest first, over a ledger that grows with each: what one
+    has scanned, those after it take from there. Every scan's part of the ledger is a written table."""
+    ledger = findings = found = None
+    for snapshot in snapshots:
+        here, scanned = scan_versions(snapshot, ledger, findings, id_col, text_col, rules)
+        pairs, spans = ledger_rows(scanned), scanned.select("blob", "spans")
+        ledger, findings = (pairs, spans) if ledger is None else (ledger.unionByName(pairs), findings.unionByName(spans))
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_versions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The table is taken as two snapshots, the older and the newer half of its range of ids (null ids with the older)."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    middle = documents.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    newer = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
+    found = scan_history([documents.where(~newer), documents.where(newer)])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",

@@ -14,7 +14,8 @@ once for each distinct unit, a stretch from one run of spaces to the next line o
 reaches; a unit's lattice of any length fits, as do texts.
 
 Null and empty texts have one segmentation, the empty one, of score 0. A text with fewer than k segmentations gives
-those it has. Rows with the same key and text draw the same. The space mark in a text decodes as a space.
+those it has. Rows with the same key and text draw the same. The space mark in a text decodes as a space, so that such a
+text is not the one that its ids decode to.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import columns, mix64, slices, texts, unit
+from tallyframe.llm.common import columns, mix64, renamed, slices, texts, unit
 
 SPACE = "▁"
 #: Draws for each text.
@@ -343,25 +344,26 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """For every document one row for each draw: ``carry``, then sg_rank (from 0), sg_ids, sg_log_p,
+def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = 0, slice_bytes: int = 4_000_000) -> DataFrame:
+    """For every document one row for each draw: ``carry``, whatever their names, then sg_rank (from 0), sg_ids, sg_log_p,
     sg_log_inclusion and sg_round_trip (the ids decode to the text)."""
-    wanted = list(dict.fromkeys([*carry, key_col]))
-    rows = documents.select(*wanted, F.col(text_col).cast("string").alias("sg_text"))
+    plain_rows, kept_names = renamed(documents, carry)
+    key_name, text_name = (plain_rows.columns[documents.columns.index(c)] for c in (key_col, text_col))
+    rows = plain_rows.select(*kept_names, F.col(key_name).cast("string").alias("sg_key"), F.col(text_name).cast("string").alias("sg_text"))
     added = [
         T.StructField("sg_rank", T.IntegerType()), T.StructField("sg_ids", T.ArrayType(T.IntegerType())), T.StructField("sg_log_p", T.DoubleType()),
         T.StructField("sg_log_inclusion", T.DoubleType()), T.StructField("sg_round_trip", T.BooleanType()),
     ]
-    schema = T.StructType([*[rows.schema[c] for c in carry], *added])
+    schema = T.StructType([*[rows.schema[c] for c in kept_names], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model_path)
-        for batch in slices(batches, 1 << 20, "sg_text", 4_000_000):
+        for batch in slices(batches, 1 << 20, "sg_text", slice_bytes):
             own = [(t or b"").decode(errors="replace") for t in texts(batch, "sg_text")]
-            keys = [str(k).encode() for k in columns(batch, [key_col])[0].to_pylist()]
+            keys = [str(k).encode() for k in columns(batch, ["sg_key"])[0].to_pylist()]
             at, rank, ids, log_p, inclusion, good = [], [], [], [], [], []
             for i, (text, found) in enumerate(zip(own, sample(own, keys, pieces, draws, seed), strict=True)):
-                plain = (" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b""
+                plain = (" " + text).encode("utf-8", "surrogatepass") if text else b""
                 for k, (codes, lp, inc) in enumerate(found):
                     got = ids_of(codes, pieces)
                     at.append(i)
@@ -370,15 +372,33 @@ def segment(documents: DataFrame, model_path: str, carry: list[str], key_col: st
                     log_p.append(lp)
                     inclusion.append(inc)
                     good.append(b"".join(map(pieces.spelled.__getitem__, got.tolist())) == plain)
-            kept = batch.select(carry).take(pa.array(at, pa.int64()))
+            kept = batch.select(kept_names).take(pa.array(at, pa.int64()))
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays(
-                [*columns(kept, carry), pa.array(rank, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(good, pa.bool_())],
+                [*columns(kept, kept_names), pa.array(rank, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(good, pa.bool_())],
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*carry, *[f.name for f in added])
+
+
+def decode(segmented: DataFrame, model_path: str, carry: list[str], ids_col: str = "sg_ids") -> DataFrame:
+    """Columns ``carry`` of every row, whatever their names, then sg_text, the text of its ids; null ids give null, ids
+    beyond the model and those of control pieces give nothing."""
+    plain, kept = renamed(segmented, carry)
+    rows = plain.select(*kept, F.col(plain.columns[segmented.columns.index(ids_col)]).cast("array<int>").alias("ids"))
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("sg_text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(model_path)
+        known = range(len(pieces.spelled))
+        for batch in slices(batches, 1024):
+            ids = columns(batch, ["ids"])[0].to_pylist()
+            got = [None if x is None else pieces.decode([i for i in x if i in known]) for x in ids]
+            yield pa.RecordBatch.from_arrays([*columns(batch, kept), pa.array(got, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*carry, "sg_text")
 
 
 def op8_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ have it). Grades: 0 not toxic; toxic documents are graded 1 or 2 by whether they
 the median toxic document, as labels only say toxic or not. The model has one weight vector for all ordered
 thresholds, P(grade <= k) = sigmoid(t_k - w.x), and yields the expected grade.
 
-It is fitted on at most about ``MAX_LABELLED`` labelled documents, picked by a hash of the id; scoring covers
-every whole text. A document labelled twice counts as toxic if any label says so; rows without label or id teach
+It is fitted on at most about ``MAX_LABELLED`` labelled documents, picked by a hash of the id and written once; the
+model has the ``MAX_FEATURES`` features of most weight at most. Both bound the fit alone: scoring covers every whole text. A document labelled twice counts as toxic if any label says so; rows without label or id teach
 nothing. Null and empty texts have no features. Without a toxic example every document gets severity 0.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import columns, slices, texts, words
+from tallyframe.llm.common import columns, renamed, slices, texts, words, written
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4_000
@@ -116,7 +116,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
     """The model, or None where nothing toxic is labelled."""
-    sample = labelled_sample(documents, labels, most)
+    sample = written(labelled_sample(documents, labels, most), "labelled")
     counts = _feature_counts(sample)
     totals = counts.where("bucket = -1").first()
     if not totals or not totals.pos or not totals.neg:
@@ -190,25 +190,25 @@ SCORES = [
 
 
 def score(documents: DataFrame, model: Model | None, carry: list[str], text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
-    """Columns ``carry`` of every document, then tx_severity (expected grade), tx_grade (likeliest),
+    """Columns ``carry`` of every document, whatever their names, then tx_severity (expected grade), tx_grade (likeliest),
     tx_probability (of any toxic grade) and tx_rejected."""
-    wanted = list(dict.fromkeys([*carry, text_col]))
-    rows = documents.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in wanted])
-    schema = T.StructType([*[rows.schema[c] for c in carry], *SCORES])
+    plain, kept = renamed(documents, carry)
+    rows = plain.select(*kept, F.col(plain.columns[documents.columns.index(text_col)]).cast("string").alias("text"))
+    schema = T.StructType([*[rows.schema[c] for c in kept], *SCORES])
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         one = model.scorer() if model else None
-        for batch in slices(batches, 1024, text_col):
+        for batch in slices(batches, 1024, "text"):
             if model:
-                p = model.grades(np.array([one(t) for t in texts(batch, text_col)]))
+                p = model.grades(np.array([one(t) for t in texts(batch, "text")]))
             else:
                 p = np.tile([1.0, 0.0, 0.0], (batch.num_rows, 1))
             toxic = 1 - p[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *columns(batch, carry),
+                    *columns(batch, kept),
                     pa.array(p @ np.arange(p.shape[1])),
                     pa.array(p.argmax(axis=1), pa.int32()),
                     pa.array(toxic),
@@ -217,7 +217,7 @@ def score(documents: DataFrame, model: Model | None, carry: list[str], text_col:
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*carry, *[f.name for f in SCORES])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 On unit vectors a cosine of t or more is a distance of at most e = sqrt(2 - 2 t). Vectors are sorted by their
 cells, of width e, on the leading principal dimensions, and cut into blocks, each with its bounding box there.
-Pairs of sequence intervals are joined recursively, from a few wide ones down to blocks and, inside a task, to
-short runs of a block; a pair whose boxes are over e apart is skipped, as no link can cross. What is left is
-compared exactly in double precision.
+Pairs of sequence intervals are joined recursively, from a few wide ones down to strips of blocks and, inside a task,
+to blocks and short runs of a block; a pair whose boxes are over e apart is skipped, as no link can cross. What is
+left is compared exactly in double precision. A task reads two strips, each block once.
 
-A task returns at most one row for each vector of its two blocks: how many links it has, and a root in the
-block pair's own components, so that dense groups never become pairs of rows. Equal vectors count as one with
+A task returns at most one row for each vector of its two strips: how many links it has, and a root in the
+strips' own components, so that dense groups never become pairs of rows. Equal vectors count as one with
 a weight. Vectors link only with those of their length; the join runs once for each length of the table. Null and
 zero vectors and those with null or non-finite components link with nothing.
 """
@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import columns, slices, written
+from tallyframe.llm.common import columns, salt, slices, written
 from tallyframe.llm.components import connected_components
 
 THRESHOLD = 0.9
 BLOCK, RUN = 4096, 256
 LEADING = 8
-#: Bits of a block's number below its partition's.
-_SHIFT = 20
+#: Bits of a block's number below its partition's, and below its strip's: a strip is up to 8 blocks in a row.
+_SHIFT, _STRIP = 20, 3
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +109,20 @@ def join_blocks(ua: np.ndarray, wa: np.ndarray, ub: np.ndarray, wb: np.ndarray,
         np.add.at(n_links, r, wb[c])
         if not (same and i == j):
             np.add.at(n_links, c if same else c + na, wa[r])
-        c = c if same else c + na
-        while True:
-            x, y = parent[r], parent[c]
-            if (x == y).all():
-                break
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            parent = _roots(parent)
+        _unite(parent, r, c if same else c + na)
     return n_links, parent
 
 
+def _unite(parent: np.ndarray, r: np.ndarray, c: np.ndarray) -> None:
+    """Joins the components of r's and c's in ``parent``, which holds the least index of each component."""
+    while True:
+        x, y = parent[r], parent[c]
+        if (x == y).all():
+            return
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        parent[:] = _roots(parent)
+
+
 def _blocks(width: int, leading: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -196,7 +200,7 @@ def block_pairs(boxes: DataFrame, reach: float, widest: int = 64, fan_bits: int
 
 
 def links_of_width(distinct: DataFrame, width: int, threshold: float, leading: int) -> DataFrame:
-    """(key, n, root) of the vectors of one length, a row for each block pair in which a vector has links."""
+    """(key, n, root) of the vectors of one length, a row for each pair of strips in which a vector has links."""
     leading = min(leading, width)
     axes = principal_axes(distinct, width, leading)
     edge = float(np.sqrt(max(2 - 2 * threshold, 1e-12)))
@@ -215,26 +219,35 @@ def links_of_width(distinct: DataFrame, width: int, threshold: float, leading: i
     blocks = placed.repartitionByRange(*order, "key").sortWithinPartitions(*order, "key").drop("cell")
     schema = "block long, lo array<double>, hi array<double>, keys binary, raws binary, weights binary"
     blocks = written(blocks.mapInArrow(_blocks(width, leading), schema), "vector-blocks")
-    pairs = block_pairs(blocks.select("block", "lo", "hi"), 2 - 2 * threshold + 1e-9)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = {k: v[0] for k, v in batch.slice(at, 1).to_pydict().items()}
-                same = row["a"] == row["b"]
-                ua, wa = _units([row["raws_a"]], width), np.frombuffer(row["weights_a"], "<i8")
-                ub, wb = (ua, wa) if same else (_units([row["raws_b"]], width), np.frombuffer(row["weights_b"], "<i8"))
-                n, parent = join_blocks(ua, wa, ub, wb, axes, threshold, same)
-                keys = row["keys_a"] if same else row["keys_a"] + row["keys_b"]
-                on = np.flatnonzero(n)
-                name = lambda i: keys[16 * i : 16 * i + 16]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name(i) for i in on], pa.binary()), pa.array(n[on]), pa.array([name(i) for i in parent[on]], pa.binary())],
-                    names=["key", "n", "root"],
-                )
-
-    side = lambda s: blocks.select(F.col("block").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("raws").alias(f"raws_{s}"), F.col("weights").alias(f"weights_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "key binary, n long, root binary")
+    reach = 2 - 2 * threshold + 1e-9
+    blocks = blocks.withColumn("strip", F.shiftright("block", _STRIP))
+    ends = [F.array(*[f(F.col(c)[i]) for i in range(leading)]).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    pairs = block_pairs(blocks.groupBy("strip").agg(*ends).withColumnRenamed("strip", "block"), reach)
+
+    def compare(table: pa.Table) -> pa.Table:
+        """The links between two strips' blocks, or within one strip."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        one, other = rows[0]["a"], rows[0]["b"]
+        units = [_units([r["raws"]], width) for r in rows]
+        weights = [np.frombuffer(r["weights"], "<i8") for r in rows]
+        starts = np.cumsum([0, *map(len, units)])
+        lo, hi = (np.array([r[c] for r in rows]) for c in ("lo", "hi"))
+        n, parent = np.zeros(starts[-1], np.int64), np.arange(starts[-1])
+        for i, j in np.argwhere(apart(lo, hi, lo, hi) <= reach).tolist():
+            if j < i or (rows[i]["strip"], rows[j]["strip"]) != (one, other):
+                continue
+            got, roots = join_blocks(units[i], weights[i], units[j], weights[j], axes, threshold, i == j)
+            at = np.arange(starts[i], starts[i + 1])
+            at = at if i == j else np.concatenate([at, np.arange(starts[j], starts[j + 1])])
+            n[at] += got
+            _unite(parent, at, at[roots])
+        keys = b"".join(r["keys"] for r in rows)
+        on = np.flatnonzero(n)
+        name = lambda i: keys[16 * i : 16 * i + 16]
+        return pa.table({"key": pa.array([name(i) for i in on], pa.binary()), "n": pa.array(n[on]), "root": pa.array([name(i) for i in parent[on]], pa.binary())})
+
+    ends_of = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
+    return ends_of.join(blocks, "strip").groupBy("a", "b").applyInArrow(compare, "key binary, n long, root binary")
 
 
 def link_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, leading: int = LEADING) -> DataFrame:
@@ -255,9 +268,14 @@ def link_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, leading: i
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     nodes = nodes.join(counted, "key", "left").join(parts.withColumnRenamed("node", "key"), "key", "left")
     nodes = nodes.select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
-    first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(first, "component").select("key", "n_links", "component_id")
-    out = rows.select("vec_id", "key").join(nodes, "key", "left")
+    nodes = nodes.withColumn("own", salt("key"))
+    first = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.collect_set("own").alias("own"))
+    nodes = nodes.join(first.select("component", "component_id", F.explode("own").alias("own")), ["component", "own"])
+    # Equal vectors may be many: their key meets its rows in the parts that they are dealt to.
+    dealt = rows.select("vec_id", "key", salt("vec_id").alias("part"))
+    parts = dealt.where("key is not null").groupBy("key").agg(F.collect_set("part").alias("parts"))
+    nodes = nodes.join(parts, "key").select("key", "n_links", "component_id", F.explode("parts").alias("part"))
+    out = dealt.join(nodes, ["key", "part"], "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

@@ -36,6 +36,19 @@ def test_missing_and_extra_records(spark):
     assert [(r.archive, r.status) for r in fx.audit(b, a).collect()] == [(1, "extra")]
 
 
+def test_a_record_missing_in_the_middle_leaves_the_rest_whole(spark):
+    a = written(fx.leaves(fx.records(pages(spark))), "t")
+    b = written(fx.leaves(fx.records(pages(spark, [r for r in PAGES if r[0] != 100] + [(7000, "u", "new")]))), "t")
+    assert sorted((r.archive, r.status) for r in fx.audit(a, b).collect()) == [(0, "missing"), (6, "extra")]
+    assert {(r.archive, r.idx) for r in fx.audit(a, b).where("status = 'missing'").collect()} == {(0, 102)}
+
+
+def test_rows_without_ids_are_many(spark):
+    rows = fx.records(pages(spark, [(None, f"u{i}", str(i)) for i in range(5000)] + [(2**60 + 1, "u", ""), (-5, "u", "")]))
+    per = {r.archive: r["count"] for r in rows.groupBy("archive").count().collect()}
+    assert per[2**50] == 1 and per[-1] == 1 and len(per) == 7 and max(per.values()) < 1400
+
+
 def test_only_differing_branches_reach_the_leaves(spark):
     a = written(fx.leaves(fx.records(pages(spark))), "t")
     levels = fx.tree(a, fx.height_of(a))

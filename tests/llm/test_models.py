@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -74,3 +77,57 @@ def test_calibration_rejects_what_is_often_wrong():
     logits[np.arange(2000), seen] = strength * 3
     temperature, least = lg.calibrate(logits, y)
     assert 2 < temperature < 4.5 and 0.9 < least < 1
+
+
+def test_columns_may_have_any_names(spark, sf):
+    """Carried columns named like the operators' own, in any case, and twice."""
+    from tallyframe.llm import decontaminate as dc
+    from tallyframe.llm import page_text as pt
+    from tallyframe.llm import segmentations as sg
+
+    import public_tokenizers
+
+    own = ["tx_rejected", "TX_Grade", "li_lang", "dc_items", "dc_spans", "sg_text", "sg_ids", "sg_key", "pt_host", "pt_html", "pt_text", "ids", "row", "tokens", "main"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for c in own:
+        docs = docs.withColumn(c, F.lit("own"))
+    carry, path = ["doc_id", *own], public_tokenizers.path("piece_bpe_32k.model")
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    segmented = sg.segment(docs, path, carry)
+    for df in (
+        tx.score(docs, None, carry), lg.predict(docs, None, carry), dc.match(docs, benchmark, carry, block_chars=20_000), segmented, sg.decode(segmented.toDF(*[f"{c}{i}" for i, c in enumerate(segmented.columns)]), path, ["doc_id0"], f"sg_ids{len(carry) + 1}"),
+        pt.extract(docs, carry, url_col="source", html_col="text"),
+    ):
+        assert df.count() >= 20 and all(set(r) in ({"own"}, set()) for r in (tuple(v for c, v in zip(df.columns, row, strict=True) if c in own and v == "own") for row in df.collect()))
+
+
+def test_scores_against_plain_python(spark, sf):
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    model, speech = tx.fit(documents, labels), lg.fit(documents)
+    weight = {int(b): w for b, w in zip(model.buckets, model.weights, strict=True)}
+    got = {r.doc_id: r for r in tx.score(documents, model, ["doc_id"]).collect()}
+    said = {r.doc_id: r for r in lg.predict(documents, speech, ["doc_id"]).collect()}
+    for k, text in texts.items():
+        distinct = set(re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())))
+        holds = {}
+        for w in distinct:
+            for f in tx.features_of(w):
+                holds[f] = holds.get(f, 0) + 1
+        s = sum(weight.get(f, 0.0) * math.log(1 + n) for f, n in holds.items())
+        p = [1 / (1 + math.exp(-(t - s))) for t in model.thresholds]
+        assert math.isclose(got[k].tx_probability, 1 - p[0], abs_tol=1e-9) and math.isclose(got[k].tx_severity, (p[1] - p[0]) + 2 * (1 - p[1]), abs_tol=1e-9)
+        if lg.has_letter((text or "").encode()):
+            counts = lg.grams(text.encode())
+            z = [(sum(int(n) * speech.table[b, j] for b, n in enumerate(counts) if n) / counts.sum() + speech.bias[j]) / speech.temperature for j in range(len(speech.languages))]
+            assert said[k].li_lang == speech.languages[z.index(max(z))] and math.isclose(said[k].li_score, 1 / sum(math.exp(x - max(z)) for x in z), abs_tol=1e-9)
+
+
+def test_items_beyond_a_block_are_cut_without_loss():
+    from tallyframe.llm import decontaminate as dc
+
+    ws = [b"%d" % i for i in range(500)]
+    for n in (0, 1, 7, 8, 9, 500):
+        parts = list(dc.pieces(ws[:n], 8, 60))
+        windows = {tuple(p[i : i + 8]) for p in parts for i in range(max(1, len(p) - 7))}
+        assert windows == {tuple(ws[:n][i : i + 8]) for i in range(max(1, n - 7))} and all(len(p) <= 40 for p in parts)

@@ -63,3 +63,16 @@ def test_redaction_merges_overlaps(spark):
 
 def test_empty_table(spark):
     assert sl.scan_versions(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
+def test_history_takes_from_the_ledger(spark):
+    rows = [[(1, "token=abcdef"), (2, "plain"), (None, None)], [(3, "plain"), (4, "token=abcdef"), (5, f"new {HEX}")], [(6, f"new {HEX}")]]
+    got = sl.scan_history([spark.createDataFrame(r, "doc_id long, text string") for r in rows]).collect()
+    assert {r.doc_id: [s.kind for s in r.spans] for r in got} == {1: ["assign"], 2: [], None: [], 3: [], 4: ["assign"], 5: ["hex"], 6: ["hex"]}
+
+
+def test_texts_with_very_many_findings(spark):
+    text = "é token=abcdef " * 1500
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = sl.scan_versions(df)[0].join(df, "doc_id").select(sl._joined(F.col("spans")).alias("s"), sl.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    assert r.s == brute(text) and r.t == "é [SECRET] " * 1500
