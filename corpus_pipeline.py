@@ -54,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, draw, ids, log_probability, log_inclusion and round_trip of sampled segmentations."""
     import public_tokenizers
 
-    found = sg.segment(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    found = sg.segment(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], slice_bytes=2_000_000)
     return found.select(
         "doc_id", F.col("sg_rank").alias("draw"), F.col("sg_ids").alias("ids"), F.col("sg_log_p").alias("log_probability"),
         F.col("sg_log_inclusion").alias("log_inclusion"), F.col("sg_round_trip").alias("round_trip"),
