@@ -30,6 +30,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -100,10 +101,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
+@lru_cache(20_000)
 def _named_out(name: str, marks: str) -> bool:
     return name in OUT or bool(marks and OUT_NAMES.search(" ".join(x.split("=", 1)[-1] for x in marks.split())))
 
 
+@lru_cache(20_000)
 def role(above: int, name: str, marks: str) -> int:
     """An element's role: a positive number from its path."""
     kept = " ".join(w for w in marks.split() if not any(c.isdigit() for c in w))
@@ -111,7 +114,7 @@ def role(above: int, name: str, marks: str) -> int:
 
 
 def text_key(above: int, content: str) -> int:
-    return -1 - (xxhash.xxh3_64_intdigest(f"{above} {' '.join(content.split())}") >> 2)
+    return -1 - (xxhash.xxh3_64_intdigest(content.strip(), above) >> 2)
 
 
 def walk(page: str) -> Iterator[tuple[str, int, str, str]]:
@@ -187,6 +190,11 @@ class Template:
 
     def __init__(self, classes: dict[int, int], main: int = 0) -> None:
         self.classes, self.main = classes, main
+        self.has_words = any(k < 0 for k in classes)
+
+    def constant(self, above: int, content: str) -> bool:
+        """Whether a text is constant words of the host."""
+        return self.has_words and text_key(above, content) in self.classes
 
     def __contains__(self, key: int) -> bool:
         return key in self.classes
@@ -214,7 +222,7 @@ def main_text(page: str, template: Template) -> str:
         if kind == "text":
             if not out and (main or not has_main):
                 blank = content.isspace()
-                constant = not blank and text_key(key, content) in template
+                constant = not blank and template.constant(key, content)
                 varied += bool(slots and not blank and not constant)
                 if main or not constant:
                     block.append(html.unescape(content))
@@ -362,8 +370,8 @@ def templates(rows: DataFrame, most_tokens: int = MOST_TEMPLATE_TOKENS) -> DataF
                 for kind, key, name, content in walk((t or b"").decode(errors="replace")):
                     if kind == "text":
                         sums[host, 0, around[-1]] += len(content) if not content.isspace() else 0
-                        key = text_key(key, content)
-                        if key in known:
+                        if known.constant(key, content):
+                            key = text_key(key, content)
                             orders[known.classes[key]].append(key)
                     elif kind == "open" and name not in INLINE:
                         if key in known:
