@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.identity import path_component
+from tallyframe.operators import studies
 
 RECORD = (
     "uid string, example_id string, dataset string, model string, strategy string, seed int, config_hash string, `index` bigint, question string, gold_answer string, "
@@ -101,9 +102,9 @@ def first_column(df: DataFrame, candidates: list[str]) -> Column:
     raise KeyError(f"none of {candidates} among {df.columns}")
 
 
-def _examples(df: DataFrame, question: Column, gold: Column, kind: str, choices: Column | None = None) -> DataFrame:
+def _examples(df: DataFrame, question: Column, gold: Column, kind: str | Column, choices: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("array<string>")
-    return df.select(F.monotonically_increasing_id().cast("string").alias("id"), question.alias("question"), gold.cast("string").alias("gold_answer"), F.lit(kind).alias("answer_type"), (none if choices is None else choices).alias("choices"))
+    return df.select(F.monotonically_increasing_id().cast("string").alias("id"), question.alias("question"), gold.cast("string").alias("gold_answer"), (F.lit(kind) if isinstance(kind, str) else kind).alias("answer_type"), (none if choices is None else choices).alias("choices"))
 
 
 @register_dataset("gsm8k")
@@ -130,3 +131,55 @@ def _arc(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.json(path)
     place = F.array_position(F.col("choices.label"), F.col("answerKey").cast("string"))
     return _examples(df, F.col("question"), F.substring(F.lit("ABCDEFGHIJ"), place.cast("int"), F.lit(1)), "mc", F.col("choices.text"))
+
+
+@register_dataset("bbh")
+def _bbh(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks with options on lines of their own are choices, with the letter as gold; others are words, or truth values."""
+    df = spark.read.json(path)
+    question, gold = first_column(df, ["input", "question"]), F.trim(first_column(df, ["target", "answer"]).cast("string"))
+    options = studies.inline_options(question)
+    kind = F.when(options.isNotNull(), "mc").when(F.lower(gold).isin("true", "false", "yes", "no"), "bool").otherwise("text")
+    return _examples(df, question, F.when(options.isNotNull(), F.regexp_replace(gold, r"[()]", "")).otherwise(gold), kind, options)
+
+
+@register_dataset("musr")
+def _musr(spark: SparkSession, path: str) -> DataFrame:
+    """A narrative and its question; choices are a list or a list's text, gold is the index of one."""
+    df = spark.read.json(path)
+    choices = F.col("choices") if dict(df.dtypes)["choices"].startswith("array") else studies.listed_choices(F.col("choices"))
+    return _examples(df, F.concat_ws("\n\n", "narrative", "question"), _letter(F.col("answer_index")), "mc", choices)
+
+
+@register_dataset("gpqa_diamond")
+def _gpqa(spark: SparkSession, path: str) -> DataFrame:
+    """The right answer and three wrong ones, in an order by the question's hash."""
+    df = spark.read.json(path)
+    answers = F.array(*[F.trim(F.col(f"`{c}`")) for c in ("Correct Answer", "Incorrect Answer 1", "Incorrect Answer 2", "Incorrect Answer 3")])
+    mixed = studies.shuffled_choices(F.md5(F.col("Question").cast("binary")), answers, answers[0])
+    return _examples(df, F.col("Question"), mixed["letter"], "mc", mixed["choices"])
+
+
+@register_dataset("gsm_symbolic")
+def _gsm_symbolic(spark: SparkSession, path: str) -> DataFrame:
+    return _gsm8k(spark, path)
+
+
+@register_dataset("toy")
+def _toy(spark: SparkSession, path: str) -> DataFrame:
+    """24 sums made by rule; the path plays no part."""
+    df = spark.range(24).withColumn("a", 3 * F.col("id") + 2).withColumn("b", F.pmod(7 * F.col("id"), F.lit(11)) + 1)
+    return _examples(df, F.concat(F.lit("What is "), F.col("a").cast("string"), F.lit(" + "), F.col("b").cast("string"), F.lit("?")), F.col("a") + F.col("b"), "math")
+
+
+def _letter(index: Column) -> Column:
+    return F.substring(F.lit("ABCDEFGHIJ"), index.cast("int") + 1, F.lit(1))
+
+
+def save_examples(examples: DataFrame, path: str) -> None:
+    """A snapshot of examples as JSON lines."""
+    examples.write.mode("overwrite").json(path)
+
+
+def load_saved_examples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, question string, gold_answer string, answer_type string, choices array<string>").json(path)
