@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +131,44 @@ def draw(*parts: Column, below: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % below
 
 
+#: Modulus of the hash of replicates, 2**31 - 1: the square of a number below it fits a signed 64-bit integer.
+MODULUS = 2_147_483_647
+#: What a replicate adds to the start of the hash, and how often it squares.
+STRIDE, SQUARINGS = 69_621, 3
+
+
+def replicate_key(*parts: Column) -> Column:
+    """Two numbers below ``MODULUS`` from the MD5 of the parts, made once a row for all its replicates."""
+    digest = F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]).cast("binary"))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % MODULUS
+    return F.struct(number(1).alias("a"), number(9).alias("b"))
+
+
+def replicate_draw(key: Column, replicate: Column) -> Column:
+    """A number from 0 to ``MODULUS`` - 1 for a key in a replicate. Squares of whole numbers alone, so a draw makes no
+    string and any engine can repeat it."""
+    x = (key["a"] + replicate.cast("long") * STRIDE) % MODULUS
+    for _ in range(SQUARINGS):
+        x = (x * x + key["b"]) % MODULUS
+    return x
+
+
+def poisson_steps() -> list[int]:
+    """The least draws at which a Poisson count of mean 1 is over 0, over 1, and so on."""
+    steps, total, term, k = [], 0.0, math.exp(-1), 0
+    while term * MODULUS >= 1:
+        total += term
+        steps.append(round(total * MODULUS))
+        k += 1
+        term /= k
+    return steps
+
+
+def poisson_weight(x: Column) -> Column:
+    """How often a replicate takes a unit, from its draw."""
+    return sum(((x >= step).cast("int") for step in poisson_steps()), F.lit(0))
+
+
 def order_key(*parts: Column) -> Column:
     """A random order that every engine can repeat."""
     return F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]).cast("binary"))

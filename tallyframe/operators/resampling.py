@@ -1,18 +1,33 @@
-"""Bootstrap intervals and permutation tests whose randomness is a hash of replicate and place."""
+"""Bootstrap intervals and permutation tests whose randomness is a hash of unit and replicate.
+
+A bootstrap replicate takes every unit as often as a Poisson count of mean 1 says, drawn from the hash, and its statistic is a
+ratio of weighted sums. So a task folds its own units into one sum a group and replicate before anything moves: no draw is
+joined back, no group is numbered, and rows moved grow with groups times replicates, not with units. Permutations flip signs
+by the same hash.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats as st
-from tallyframe.operators.variance import resampled
+
+
+def with_replicates(values: DataFrame, unit: str, replicates: int) -> DataFrame:
+    """Every row once a replicate, with ``replicate`` and the draw ``_x`` of its unit there. Rows are dealt to all tasks
+    first: few bytes of them are much work, and adaptive execution would join them into one task by their bytes."""
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = values.repartition(tasks, *values.columns).withColumn("_key", st.replicate_key(F.col(unit)))
+    spread = keyed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return spread.withColumn("_x", st.replicate_draw(F.col("_key"), F.col("replicate"))).drop("_key")
 
 
 def replicate_means(values: DataFrame, by: list[str], unit: str, value: str, replicates: int) -> DataFrame:
-    """Mean of each replicate's draws."""
-    drawn = resampled(values, unit, replicates, by).join(values.select(*by, unit, value), [*by, unit])
-    return drawn.groupBy(*by, "replicate").agg(F.avg(value).alias("mean"))
+    """Weighted mean of each replicate; null where it takes no unit."""
+    rows = with_replicates(values.select(*by, unit, value).where(F.col(value).isNotNull()), unit, replicates)
+    rows = rows.withColumn("_w", st.poisson_weight(F.col("_x")))
+    return rows.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w").cast("double")).alias("mean"))
 
 
 def bootstrap_ci(values: DataFrame, by: list[str], unit: str, value: str, replicates: int, alpha: float = 0.05) -> DataFrame:
@@ -43,9 +58,9 @@ def bca_ci(values: DataFrame, by: list[str], unit: str, value: str, replicates:
         F.coalesce(F.try_divide(F.sum(F.pow("_d", F.lit(3.0))), 6 * F.pow(F.sum(F.pow("_d", F.lit(2.0))), F.lit(1.5))), F.lit(0.0)).alias("accel"),
     )
     joined = means.join(point, by)
-    below = F.greatest(F.lit(0.5 / replicates), F.least(F.lit(1 - 0.5 / replicates), F.avg((F.col("mean") < F.col("point")).cast("int"))))
+    below = F.greatest(F.lit(0.5 / replicates), F.least(F.lit(1 - 0.5 / replicates), F.avg((F.round("mean", 12) < F.round("point", 12)).cast("int"))))
     got = joined.groupBy(*by).agg(
-        F.first("point").alias("point"), F.first("n").alias("n"), F.first("accel").alias("accel"), st.normal_quantile(below).alias("z0"), F.array_sort(F.collect_list("mean")).alias("sorted"),
+        F.first("point").alias("point"), F.first("n").alias("n"), F.first("accel").alias("accel"), st.normal_quantile(below).alias("z0"), F.array_sort(F.collect_list("mean")).alias("sorted"),  # one number a replicate
     )
 
     def end(q: float):
@@ -59,11 +74,13 @@ def bca_ci(values: DataFrame, by: list[str], unit: str, value: str, replicates:
     return got.select(*by, "n", "point", end(alpha / 2).alias("ci_low"), end(1 - alpha / 2).alias("ci_high"))
 
 
-def sign_permutation(diffs: DataFrame, by: list[str], unit: str, value: str, replicates: int) -> DataFrame:
-    """Two-sided permutation test of a mean difference by random signs: (1 + extreme) / (1 + replicates)."""
-    sign = 2 * st.draw(F.col("replicate"), F.col(unit), below=F.lit(2)) - 1
-    flipped = diffs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    means = flipped.groupBy(*by, "replicate").agg(F.avg(F.col(value) * sign).alias("mean"))
+def sign_permutation(diffs: DataFrame, by: list[str], unit: str, value: str, replicates: int, side: str = "two-sided") -> DataFrame:
+    """Permutation test of a mean difference by random signs: (1 + extreme) / (1 + replicates). ``side`` is two-sided,
+    greater or less."""
+    rows = with_replicates(diffs.select(*by, unit, value).where(F.col(value).isNotNull()), unit, replicates)
+    sign = F.when(F.col("_x") >= st.MODULUS // 2, 1).otherwise(-1)
+    means = rows.groupBy(*by, "replicate").agg(F.avg(F.col(value) * sign).alias("mean"))
     point = diffs.groupBy(*by).agg(F.avg(value).alias("point"))
-    extreme = F.count_if(F.round(F.abs("mean"), 12) >= F.round(F.abs("point"), 12))
-    return means.join(point, by).groupBy(*by).agg(F.first("point").alias("point"), ((1 + extreme) / F.lit(1.0 + replicates)).alias("p_value"))
+    seen, own = F.round("mean", 12), F.round("point", 12)
+    far: dict[str, Column] = {"two-sided": F.abs(seen) >= F.abs(own), "greater": seen >= own, "less": seen <= own}
+    return means.join(point, by).groupBy(*by).agg(F.first("point").alias("point"), ((1 + F.count_if(far[side])) / F.lit(1.0 + replicates)).alias("p_value"))

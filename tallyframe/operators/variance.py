@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats as st
+from tallyframe.operators.resampling import with_replicates
 
 #: Components and the factors that vary in each.
 TERMS = {
@@ -29,6 +30,11 @@ def mean_squares(z: DataFrame, by: list[str] | None = None, unit: str = "item")
     q = lambda s: F.sum(F.when(in_set(s), F.col("s") * F.col("s") / F.col("n")))
     size = lambda f: F.count_if(in_set(f)).alias(f"n_{f}")
     got = summed.groupBy(*by).agg(*[q(s).alias(f"q_{s or '0'}") for s in ("", "i", "m", "c", "im", "ic", "mc", "imc")], *[size(f) for f in "imc"])
+    return _squares(got, by)
+
+
+def _squares(got: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of squares, degrees of freedom and mean squares from the totals q_ of every margin and the sizes n_."""
     c = lambda s: F.col(f"q_{s}")
     ss = {
         "item": c("i") - c("0"), "model": c("m") - c("0"), "config": c("c") - c("0"), "item_model": c("im") - c("i") - c("m") + c("0"),
@@ -86,12 +92,38 @@ def unsaturated(c: DataFrame) -> DataFrame:
     return c.join(gone, "item", "left_anti")
 
 
-def resampled(values: DataFrame, unit: str, replicates: int, by: list[str] | None = None) -> DataFrame:
-    """For each replicate as many draws of units as there are, with replacement: (by, replicate, slot, unit). Draws are a
-    hash of replicate and slot, so any engine can repeat them."""
-    by = by or []
-    units = values.select(*by, unit).distinct()
-    at = units.withColumns({"_at": F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    slots = at.select(*by, F.col("_at").alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = slots.withColumn("_at", st.draw(F.col("replicate"), F.col("slot"), below=F.col("_n")))
-    return drawn.join(at.drop("_n"), [*by, "_at"]).select(*by, "replicate", "slot", unit)
+def resampled_components(z: DataFrame, floors: DataFrame, replicates: int) -> DataFrame:
+    """(replicate, component, variance, negative, share) of every bootstrap replicate over items, each over its own floor.
+
+    ``z`` has one value a cell (item, model, config, z); ``floors`` has, for items, the sum ``fv`` and number ``fn`` of their variances
+    between seeds. A replicate takes an item by its Poisson weight. What an item adds on its own is squared once and then only
+    weighted; the margins without items are weighted sums by model and configuration. Both are folded where the items are
+    read, so rows moved grow with replicates times models times configurations."""
+    own = z.groupingSets([[F.col(c) for c in s] for s in (["item"], ["item", "model"], ["item", "config"], ["item", "model", "config"])], "item", "model", "config")
+    own = own.agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("n"), F.grouping("model").alias("gm"), F.grouping("config").alias("gc"))
+    part = lambda gm, gc: F.sum(F.when((F.col("gm") == gm) & (F.col("gc") == gc), F.col("s") * F.col("s") / F.col("n")))
+    own = own.groupBy("item").agg(part(1, 1).alias("q_i"), part(0, 1).alias("q_im"), part(1, 0).alias("q_ic"), part(0, 0).alias("q_imc"))
+    w = st.poisson_weight(F.col("_x"))
+    items = with_replicates(own.join(floors, "item", "left"), "item", replicates).withColumn("_w", w)
+    weighed = lambda c: F.sum(F.col("_w") * F.col(c))
+    items = items.groupBy("replicate").agg(
+        *[weighed(q).alias(q) for q in ("q_i", "q_im", "q_ic", "q_imc")], F.sum("_w").alias("n_i"), F.try_divide(weighed("fv"), weighed("fn").cast("double")).alias("_floor"),
+    )
+    cells = with_replicates(z.select("item", "model", "config", "z"), "item", replicates).withColumn("_w", w)
+    cells = cells.groupBy("replicate", "model", "config").agg(weighed("z").alias("s"), F.sum("_w").alias("n")).where("n > 0")
+    sets = (["replicate"], ["replicate", "model"], ["replicate", "config"], ["replicate", "model", "config"])
+    sums = cells.groupingSets([[F.col(c) for c in s] for s in sets], "replicate", "model", "config")
+    sums = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.grouping("model").alias("gm"), F.grouping("config").alias("gc"))
+    size = lambda gm, gc: F.count_if((F.col("gm") == gm) & (F.col("gc") == gc))
+    sums = sums.groupBy("replicate").agg(
+        part(1, 1).alias("q_0"), part(0, 1).alias("q_m"), part(1, 0).alias("q_c"), part(0, 0).alias("q_mc"), size(0, 1).alias("n_m"), size(1, 0).alias("n_c"),
+    )
+    ms = _squares(items.join(sums, "replicate"), ["replicate"]).join(items.select("replicate", "_floor"), "replicate")
+    return components(ms, F.col("_floor"), ["replicate"])
+
+
+def seed_floors(c: DataFrame, reference: str) -> DataFrame:
+    """(item, fv, fn): sum and number of an item's variances of logits between seeds at the reference."""
+    z = st.haldane_logit(F.col("k"), F.col("n"))
+    per = c.where(F.col("config") == reference).groupBy("item", "model").agg(F.var_samp(z).alias("v"), F.count(F.lit(1)).alias("seeds")).where("seeds >= 2")
+    return per.groupBy("item").agg(F.sum("v").alias("fv"), F.count(F.lit(1)).alias("fn"))

@@ -61,25 +61,34 @@ def variance_components(spark, d):
     return va.components(ms, F.col("_floor")).withColumns({"variance": r6("variance"), "share": r6("share")})
 
 
-def _resampled_sql(values: str, unit: str, by: str, replicates: int) -> str:
-    return f"""ru AS (SELECT {by}, {unit}, row_number() OVER (PARTITION BY {by} ORDER BY {unit}) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS cnt FROM (SELECT DISTINCT {by}, {unit} FROM {values})),
-rd AS (SELECT {by}, rep, pos AS slot, CAST(CAST('0x' || substr(md5(rep || '-' || pos), 1, 8) AS UBIGINT) % cnt AS BIGINT) AS pos FROM ru, (SELECT unnest(range(0, {replicates})) AS rep)),
-rz AS (SELECT rd.{by.replace(', ', ', rd.')}, rep, slot, {unit} FROM rd JOIN ru USING ({by}, pos))"""
+#: Replicates of the registered queries.
+REPLICATES, REFITS = 10_000, 2_000
+
+
+def _weights_sql(values: str, unit: str, replicates: int) -> str:
+    """wx: the draw of every unit of ``values`` in every replicate; wt: its Poisson weight."""
+    number = lambda at: f"CAST(CAST('0x' || substr(md5({unit}), {at}, 8) AS UBIGINT) % {st.MODULUS} AS BIGINT)"
+    x = f"(a + rep * {st.STRIDE}) % {st.MODULUS}"
+    steps = f"w0 AS (SELECT {unit}, rep, b, {x} AS x FROM (SELECT DISTINCT {unit}, {number(1)} AS a, {number(9)} AS b FROM {values}), (SELECT unnest(range(0, {replicates})) AS rep))"
+    for i in range(st.SQUARINGS):
+        steps += f",\nw{i + 1} AS (SELECT {unit}, rep, b, (x * x + b) % {st.MODULUS} AS x FROM w{i})"
+    weight = " + ".join(f"(x >= {s})::INT" for s in st.poisson_steps())
+    return f"{steps}, wx AS (SELECT {unit}, rep, x FROM w{st.SQUARINGS}), wt AS (SELECT {unit}, rep, {weight} AS w FROM wx)"
 
 
 VB = MS.format(by="rep, ", b0="rep", src="zz", group="GROUP BY rep")
 
 
-@query("variance_bootstrap", f"""WITH {Z}, one AS (SELECT 1 AS u, * FROM z WHERE seed = 0), {_resampled_sql('one', 'item', 'u', 10)},
-zz AS (SELECT rep, slot AS item, model, config, z FROM rz JOIN one USING (item)), {VB}, {FLOOR}, {_components_sql('rep,')}
+@query("variance_bootstrap", f"""WITH {Z}, one AS (SELECT * FROM z WHERE seed = 0), {_weights_sql('one', 'item', REFITS)}, cp AS (SELECT item, rep, unnest(range(0, w)) AS nth FROM wt),
+zz AS (SELECT rep, item || '#' || nth AS item, model, config, z FROM one JOIN cp USING (item)), {VB},
+fv AS (SELECT item, model, var_samp(z) AS v FROM z WHERE config = 'c0' GROUP BY item, model HAVING count(*) >= 2), fl AS (SELECT rep, avg(v) AS f FROM fv JOIN cp USING (item) GROUP BY rep),
+{_components_sql('rep,').replace('FROM ms, fl', 'FROM ms JOIN fl USING (rep)')}
 SELECT component, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high FROM (SELECT component, greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY rep) AS s FROM co) GROUP BY component""")
-def variance_bootstrap(spark, d, replicates: int = 10):
+def variance_bootstrap(spark, d, replicates: int = REFITS):
     c = cl.cells(ad.samples(spark, d))
-    z = cl.cell_stats(c).where("seed = 0").select("item", "model", "config", "z").withColumn("u", F.lit(1))
-    drawn = va.resampled(z, "item", replicates, ["u"]).join(z.drop("u"), "item")
-    floor = va.noise_floor(c, "c0").select(F.col("replicate").alias("_floor"), F.lit(1).alias("_one"))
-    ms = va.mean_squares(drawn.select("replicate", "slot", "model", "config", "z"), ["replicate"], "slot").withColumn("_one", F.lit(1)).join(F.broadcast(floor), "_one")
-    got = va.components(ms, F.col("_floor"), ["replicate"]).groupBy("component").agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
+    z = cl.cell_stats(c).where("seed = 0").select("item", "model", "config", "z")
+    got = va.resampled_components(z, va.seed_floors(c, "c0"), replicates)
+    got = got.groupBy("component").agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
     return got.select("component", r6(F.col("e")[0]).alias("ci_low"), r6(F.col("e")[1]).alias("ci_high"))
 
 
@@ -179,31 +188,65 @@ V = "v AS (SELECT model, config, item, p_hat FROM z WHERE seed = 0)"
 DV = "dv AS (SELECT a.model, a.item, b.p_hat - a.p_hat AS v FROM z a JOIN z b ON a.model = b.model AND a.item = b.item AND a.seed = 0 AND b.seed = 0 AND a.config = 'c0' AND b.config = 'c1')"
 
 
-@query("bootstrap_ci", f"""WITH {Z}, {V}, {_resampled_sql('v', 'item', 'model, config', 40)}, mn AS (SELECT model, config, rep, avg(p_hat) AS m FROM rz JOIN v USING (model, config, item) GROUP BY ALL),
+MEANS = "mn AS (SELECT {0}, rep, sum(w * {1}) / nullif(sum(w), 0) AS m FROM {2} JOIN wt USING (item) GROUP BY ALL)"
+
+
+@query("bootstrap_ci", f"""WITH {Z}, {V}, {_weights_sql('v', 'item', REPLICATES)}, {MEANS.format('model, config', 'p_hat', 'v')},
 e AS (SELECT model, config, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY ALL)
 SELECT model, config, count(*) AS n, round(avg(p_hat), 6) AS point, round(min(lo), 6) AS ci_low, round(min(hi), 6) AS ci_high FROM v JOIN e USING (model, config) GROUP BY ALL""")
 def bootstrap_ci(spark, d):
-    got = rs.bootstrap_ci(_column(spark, d), ["model", "config"], "item", "p_hat", 40)
+    got = rs.bootstrap_ci(_column(spark, d), ["model", "config"], "item", "p_hat", REPLICATES)
     return got.withColumns({x: r6(x) for x in ("point", "ci_low", "ci_high")})
 
 
-@query("paired_bootstrap", f"""WITH {Z}, {DV}, {_resampled_sql('dv', 'item', 'model', 40)}, mn AS (SELECT model, rep, avg(v) AS m FROM rz JOIN dv USING (model, item) GROUP BY ALL),
-e AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, least(1.0, greatest(1.0 / 40, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)))) AS p FROM mn GROUP BY ALL)
+@query("paired_bootstrap", f"""WITH {Z}, {DV}, {_weights_sql('dv', 'item', REPLICATES)}, {MEANS.format('model', 'v', 'dv')},
+e AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, least(1.0, greatest(1.0 / {REPLICATES}, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)))) AS p FROM mn WHERE m IS NOT NULL GROUP BY ALL)
 SELECT model, round(avg(v), 6) AS point, round(min(lo), 6) AS ci_low, round(min(hi), 6) AS ci_high, round(min(p), 6) AS p_value FROM dv JOIN e USING (model) GROUP BY ALL""")
 def paired_bootstrap(spark, d):
-    return rs.paired_bootstrap(_diffs(spark, d), ["model"], "item", "v", 40).select("model", *[r6(x).alias(x) for x in ("point", "ci_low", "ci_high", "p_value")])
+    return rs.paired_bootstrap(_diffs(spark, d), ["model"], "item", "v", REPLICATES).select("model", *[r6(x).alias(x) for x in ("point", "ci_low", "ci_high", "p_value")])
 
 
-@query("permutation_test", f"""WITH {Z}, {DV}, f AS (SELECT model, rep, avg(v * (2 * CAST(CAST('0x' || substr(md5(rep || '-' || item), 1, 8) AS UBIGINT) % 2 AS INT) - 1)) AS m FROM dv, (SELECT unnest(range(0, 50)) AS rep) GROUP BY ALL),
+@query("permutation_test", f"""WITH {Z}, {DV}, {_weights_sql('dv', 'item', REPLICATES)}, f AS (SELECT model, rep, avg(CASE WHEN x >= {st.MODULUS // 2} THEN v ELSE -v END) AS m FROM dv JOIN wx USING (item) GROUP BY ALL),
 pt AS (SELECT model, avg(v) AS point FROM dv GROUP BY model)
-SELECT model, round(min(point), 6) AS point, round((1 + count(*) FILTER (round(abs(m), 12) >= round(abs(point), 12))) / 51.0, 6) AS p_value FROM f JOIN pt USING (model) GROUP BY model""")
+SELECT model, round(min(point), 6) AS point, round((1 + count(*) FILTER (round(abs(m), 12) >= round(abs(point), 12))) / {REPLICATES + 1.0}, 6) AS p_value FROM f JOIN pt USING (model) GROUP BY model""")
 def permutation_test(spark, d):
-    return rs.sign_permutation(_diffs(spark, d), ["model"], "item", "v", 50).select("model", r6("point").alias("point"), r6("p_value").alias("p_value"))
+    return rs.sign_permutation(_diffs(spark, d), ["model"], "item", "v", REPLICATES).select("model", r6("point").alias("point"), r6("p_value").alias("p_value"))
+
+
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    out = f"{coefficients[0]:.17e}"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c:.17e})"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """Inverse of the normal distribution function of a column or number strictly between 0 and 1."""
+    tail = lambda q: f"{_horner(st._QC, q)} / ({_horner(st._QD, q)} * {q} + 1)"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) ELSE {_horner(st._QA, r)} * ({p} - 0.5) / ({_horner(st._QB, r)} * {r} + 1) END"
+
+
+def _cdf_sql(z: str) -> str:
+    """Normal distribution function of a column."""
+    t = f"(1 / (1 + {st._ERF_P:.17e} * abs({z}) / sqrt(2.0)))"
+    poly = f"({_horner((*reversed(st._ERF), 0.0), t)})"
+    return f"0.5 * (1 + sign({z}) * (1 - {poly} * exp(-{z} * {z} / 2)))"
+
+
+_END = "s[CAST(floor({0}) AS BIGINT) + 1] + ({0} - floor({0})) * (s[least(CAST(floor({0}) AS BIGINT) + 2, len(s))] - s[CAST(floor({0}) AS BIGINT) + 1])"
 
 
-@query("bca_ci_mean")
+@query("bca_ci_mean", f"""WITH {Z}, {V}, {_weights_sql('v', 'item', REFITS)}, {MEANS.format('model, config', 'p_hat', 'v')},
+ce AS (SELECT model, config, p_hat, p_hat - avg(p_hat) OVER (PARTITION BY model, config) AS c FROM v),
+pt AS (SELECT model, config, avg(p_hat) AS point, count(*) AS n, coalesce(sum(c ** 3) / nullif(6 * sum(c ** 2) ** 1.5, 0), 0) AS acc FROM ce GROUP BY ALL),
+bl AS (SELECT model, config, n, point, acc, greatest({0.5 / REFITS}, least({1 - 0.5 / REFITS}, avg(CASE WHEN round(m, 12) < round(point, 12) THEN 1.0 ELSE 0.0 END))) AS b, list(m ORDER BY m) AS s FROM mn JOIN pt USING (model, config) WHERE m IS NOT NULL GROUP BY model, config, n, point, acc),
+zs AS (SELECT *, {_quantile_sql('b')} AS z0, {_quantile_sql('2.5e-2')} AS za, {_quantile_sql('9.75e-1')} AS zb FROM bl),
+ad AS (SELECT *, z0 + (z0 + za) / (1 - acc * (z0 + za)) AS ya, z0 + (z0 + zb) / (1 - acc * (z0 + zb)) AS yb FROM zs),
+sp AS (SELECT *, ({_cdf_sql('ya')}) * (len(s) - 1) AS pa, ({_cdf_sql('yb')}) * (len(s) - 1) AS pb FROM ad)
+SELECT model, config, n, round(point, 6) AS point, round({_END.format('pa')}, 6) AS ci_low, round({_END.format('pb')}, 6) AS ci_high FROM sp""")
 def bca_ci_mean(spark, d):
-    return rs.bca_ci(_column(spark, d), ["model", "config"], "item", "p_hat", 200)
+    return rs.bca_ci(_column(spark, d), ["model", "config"], "item", "p_hat", REFITS).withColumns({x: r6(x) for x in ("point", "ci_low", "ci_high")})
 
 
 @query("glmm_shares")

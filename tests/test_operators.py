@@ -119,6 +119,40 @@ def test_spearman_with_ties_and_constants(spark):
     assert got["g"] == pytest.approx(np.corrcoef(rank([1, 2, 2, 4]), rank([2, 2, 5, 9]))[0, 1]) and got["h"] is None
 
 
+def test_replicate_weights_are_poisson_and_independent(spark):
+    x = st.replicate_draw(st.replicate_key(F.concat(F.lit("u"), "id")), F.col("replicate"))
+    df = spark.range(40).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(3999))))
+    w = df.select("id", "replicate", st.poisson_weight(x).alias("w")).toPandas().pivot(index="replicate", columns="id", values="w").to_numpy()
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert [round(float((w == k).mean()), 2) for k in range(4)] == [round(math.exp(-1) / math.factorial(k), 2) for k in range(4)]
+    r = np.corrcoef(w, rowvar=False)[~np.eye(40, dtype=bool)]
+    along = [np.corrcoef(w[:-1, i], w[1:, i])[0, 1] for i in range(40)]
+    assert np.abs(r).max() < 0.08 and np.abs(along).max() < 0.08 and abs(r.mean()) < 0.005
+
+
+def test_weighted_refit_is_the_refit_of_copied_items(spark):
+    rng = np.random.default_rng(3)
+    z = spark.createDataFrame([(f"i{i}", m, c, float(rng.normal() + i)) for i in range(12) for m in "ab" for c in "xyz"], "item string, model string, config string, z double")
+    floors = spark.createDataFrame([(f"i{i}", 0.01 * i, 1) for i in range(12)], "item string, fv double, fn long")
+    got = {(r.replicate, r.component): r.variance for r in va.resampled_components(z, floors, 6).collect()}
+    drawn = rs.with_replicates(z, "item", 6).withColumn("w", st.poisson_weight(F.col("_x"))).where("w > 0")
+    copies = drawn.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("w")))).withColumn("item", F.concat_ws("#", "item", "nth"))
+    taken = copies.where("model = 'a' and config = 'x'").withColumn("item", F.split("item", "#")[0]).join(floors, "item")
+    floor = taken.groupBy("replicate").agg(F.avg("fv").alias("_f"))
+    ms = va.mean_squares(copies.select("replicate", "item", "model", "config", "z"), ["replicate"]).join(floor, "replicate")
+    want = {(r.replicate, r.component): r.variance for r in va.components(ms, F.col("_f"), ["replicate"]).collect()}
+    assert got.keys() == want.keys() and len(got) == 42 and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in got)
+
+
+def test_permutation_sides_and_empty_tables(spark):
+    df = spark.createDataFrame([("g", f"i{i}", 1.0 + i / 10) for i in range(12)] + [("g", "none", None)], "g string, item string, v double")
+    p = {side: rs.sign_permutation(df, ["g"], "item", "v", 2000, side).first().p_value for side in ("two-sided", "greater", "less")}
+    assert p["greater"] < 0.005 and p["two-sided"] < 0.01 and p["less"] > 0.99
+    assert rs.bootstrap_ci(df.limit(0), ["g"], "item", "v", 10).count() == 0
+    one = rs.bootstrap_ci(df.where("item = 'i0'"), ["g"], "item", "v", 100).first()
+    assert one.ci_low == one.ci_high == one.point
+
+
 def test_bootstrap_interval_covers_like_numpy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(1, 1, 60)
