@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import identity as ident
 from tallyframe.functions import stats as st
+from tallyframe.operators.resampling import with_replicates
 
 
 def pairs_of(df: DataFrame, by: list[str], level: str, value: str, item: str = "item", rank: Column | None = None) -> DataFrame:
@@ -37,10 +38,10 @@ def disattenuated(rho: Column, r: Column) -> Column:
     return F.when(r > 0, rho / r)
 
 
-def hard_subset(df: DataFrame, by: list[str], value: str, item: str = "item", share: float = 0.25) -> DataFrame:
-    """The items of least value, ties by a hash of the item; at least one, their number rounded half to even."""
+def hard_subset(df: DataFrame, by: list[str], value: str, item: str = "item", share: float = 0.25, tie: Column | None = None) -> DataFrame:
+    """The items of least value, ties by a hash of the item (``tie`` where it is known); at least one, their number rounded half to even."""
     whole = Window.partitionBy(*by)
-    order = whole.orderBy(F.col(value).asc_nulls_last(), ident.stable_hash(F.col(item), 8), item)
+    order = whole.orderBy(F.col(value).asc_nulls_last(), ident.stable_hash(F.col(item), 8) if tie is None else tie, item)
     size = F.greatest(F.lit(1), F.bround(F.lit(share) * F.count(F.lit(1)).over(whole)).cast("int"))
     return df.withColumns({"_r": F.row_number().over(order), "_size": size}).where("_r <= _size").drop("_r", "_size")
 
@@ -71,3 +72,53 @@ def quantile_bucket(df: DataFrame, by: list[str], value: str, parts: int) -> Dat
     edges = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_edges"))
     got = df.join(F.broadcast(edges) if not by else edges, by) if by else df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return got.withColumn("bucket", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+
+
+def binomial_steps(n: Column, p: Column) -> Column:
+    """The least draws below ``stats.MODULUS`` at which a binomial count is over 0, over 1, up to n - 1; terms are summed as
+    logarithms, so any n fits."""
+    sure = F.greatest(F.lit(1e-300), F.least(F.lit(1.0 - 1e-16), p))
+    start = F.struct((n * F.log1p(-sure)).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("steps"))
+
+    def step(acc: Column, k: Column) -> Column:
+        total = acc["sum"] + F.exp(acc["term"])
+        term = acc["term"] + F.log((n - k).cast("double") / (k + 1)) + F.log(sure) - F.log1p(-sure)
+        return F.struct(term.alias("term"), total.alias("sum"), F.concat(acc["steps"], F.array(F.round(total * st.MODULUS).cast("long"))).alias("steps"))
+
+    found = F.aggregate(F.sequence(F.lit(0), n.cast("int") - 1), start, step, lambda acc: acc["steps"])
+    return F.when(n > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def mean_overlap(values: DataFrame, by: list[str], level: str, value: str, tie: Column | None = None) -> DataFrame:
+    """(by, jaccard): mean overlap of the hard items over all pairs of levels. An item's levels meet in one row and give
+    counts of single levels and of pairs alike, so hard items are found once; levels are few."""
+    hard = hard_subset(values, [*by, level], value, tie=tie).select(*by, "item", F.col(level).alias("_l"))
+    met = hard.groupBy(*by, "item").agg(F.array_sort(F.collect_list("_l")).alias("_ls"))
+    one = met.select(*by, "_ls", F.explode("_ls").alias("a"))
+    pairs = one.select(*by, "a", F.explode("_ls").alias("b")).where("a <= b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    table = pairs.groupBy(*by).agg(F.collect_list(F.struct("a", "b", "n")).alias("t"))
+    table = table.withColumn("sizes", F.map_from_entries(F.transform(F.filter("t", lambda x: x["a"] == x["b"]), lambda x: F.struct(x["a"], x["n"]))))
+    shares = F.transform(F.filter("t", lambda x: x["a"] < x["b"]), lambda x: x["n"] / (F.col("sizes")[x["a"]] + F.col("sizes")[x["b"]] - x["n"]))
+    levels = F.size("sizes")
+    total = F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
+    return table.select(*by, F.try_divide(total, levels * (levels - 1) / F.lit(2.0)).alias("jaccard"))
+
+
+def reestimation_null(c: DataFrame, by: list[str], level: str, draws: int) -> DataFrame:
+    """(by, observed, null_mean, null_std, null_q05, p_value, n_draws): the overlap of hard items between levels against the one
+    that sampling alone would leave. Under the null an item has one difficulty, its mean p_hat, and every cell (by, level,
+    item, n, p_hat) is drawn anew from a binomial of its own n; p is one-sided, for less overlap."""
+    mean = c.groupBy(*by, "item").agg(F.avg("p_hat").alias("_p"))
+    cells = c.select(*by, level, "item", "n").join(mean, [*by, "item"])
+    cells = cells.select(*by, level, "item", "n", binomial_steps(F.col("n"), F.col("_p")).alias("_steps"), F.concat_ws("-", *by, level, "item").alias("_unit"), ident.stable_hash(F.col("item"), 8).alias("_tie"))
+    drawn = with_replicates(cells, "_unit", draws)
+    # The draw is bound once: within the filter it would be made again for every step.
+    count = F.transform(F.array("_x"), lambda x: F.size(F.filter("_steps", lambda s: s <= x)))[0]
+    drawn = drawn.select(*by, "replicate", level, "item", "_tie", st.ratio(count, F.col("n")).alias("v"))
+    null = mean_overlap(drawn, [*by, "replicate"], level, "v", F.col("_tie"))
+    seen = null.join(mean_overlap(c, by, level, "p_hat").withColumnRenamed("jaccard", "observed"), by)
+    low = F.count_if(F.round("jaccard", 12) <= F.round("observed", 12))
+    return seen.groupBy(*by).agg(
+        F.first("observed").alias("observed"), F.avg("jaccard").alias("null_mean"), F.stddev_samp("jaccard").alias("null_std"), F.percentile("jaccard", F.lit(0.05)).alias("null_q05"),
+        ((1 + low) / (1.0 + F.count(F.lit(1)))).alias("p_value"), F.count(F.lit(1)).alias("n_draws"),
+    )

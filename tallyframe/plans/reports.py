@@ -181,15 +181,29 @@ def zero_token_warning(spark, d):
     return ad.samples(spark, d).groupBy("model").agg(F.sum("tok").alias("tokens"), F.count(F.lit(1)).alias("n_chains"), (F.sum("tok") <= F.count(F.lit(1))).alias("invalid"))
 
 
-@query("reestimation_null", f"""WITH {inf.Z}, p AS (SELECT model, item, avg(p_hat) AS p FROM z WHERE seed = 0 GROUP BY ALL),
-k AS (SELECT rep, colno, model, item, count(*) FILTER ({_hash('rep', 'colno', 'model', 'item', 'j')} / 4294967296.0 < p) AS k FROM p, (SELECT unnest(range(0, 4)) AS rep), (SELECT unnest([0, 1]) AS colno), (SELECT unnest(range(0, 12)) AS j) GROUP BY ALL),
-hn AS (SELECT rep, colno, model, item FROM (SELECT *, row_number() OVER (PARTITION BY rep, colno, model ORDER BY k, substr(sha256('"' || item || '"'), 1, 8), item) AS rn, greatest(1, CAST(round_even(0.25 * count(*) OVER (PARTITION BY rep, colno, model), 0) AS INT)) AS sz FROM k) WHERE rn <= sz),
-b AS (SELECT x.model, x.rep, count(y.item) AS shared, count(*) AS n FROM hn x LEFT JOIN hn y ON x.rep = y.rep AND x.model = y.model AND x.item = y.item AND y.colno = 1 WHERE x.colno = 0 GROUP BY ALL)
-SELECT model, round(avg(shared / CAST(2 * n - shared AS DOUBLE)), 6) AS null_jaccard, count(*) AS n_draws FROM b GROUP BY model""")
+def _hard_sql(source: str, value: str, by: str) -> str:
+    return f"""(SELECT {by}, config, item FROM (SELECT *, row_number() OVER (PARTITION BY {by}, config ORDER BY {value}, substr(sha256('"' || item || '"'), 1, 8), item) AS rn,
+  greatest(1, CAST(round_even(0.25 * count(*) OVER (PARTITION BY {by}, config), 0) AS INT)) AS sz FROM {source}) WHERE rn <= sz)"""
+
+
+def _overlap_sql(hard: str, by: str) -> str:
+    """Mean overlap over pairs of configurations."""
+    return f"""(SELECT {by}, avg(shared / CAST(na + nb - shared AS DOUBLE)) AS jaccard FROM (SELECT {by}, a, b, count(*) FILTER (ina AND inb) AS shared, count(*) FILTER (ina) AS na, count(*) FILTER (inb) AS nb
+  FROM (SELECT {by}, a, b, item, bool_or(config = a) AS ina, bool_or(config = b) AS inb FROM {hard}, (VALUES ('c0', 'c1'), ('c0', 'c2'), ('c1', 'c2')) t(a, b) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"""
+
+
+NULL_DRAWS = 1_000
+
+
+@query("reestimation_null", f"""WITH {inf.Z}, ob AS (SELECT * FROM z WHERE seed = 0), ce AS (SELECT model, config, item, n, avg(p_hat) OVER (PARTITION BY model, item) AS p, concat_ws('-', model, config, item) AS unit FROM ob),
+st AS (SELECT unit, list(step ORDER BY k) AS steps FROM (SELECT unit, k, CAST(round(sum(pmf) OVER (PARTITION BY unit ORDER BY k) * {st.MODULUS}) AS BIGINT) AS step
+  FROM (SELECT unit, k, CASE WHEN p <= 0 THEN CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END WHEN p >= 1 THEN 0.0 ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) END AS pmf
+    FROM (SELECT unit, n, p, unnest(range(0, n)) AS k FROM ce))) GROUP BY unit),
+{inf._weights_sql('ce', 'unit', NULL_DRAWS)}, dn AS (SELECT model, config, item, rep, len(list_filter(steps, lambda s: s <= x)) / CAST(n AS DOUBLE) AS v FROM ce JOIN st USING (unit) JOIN wx USING (unit)),
+nl AS {_overlap_sql(_hard_sql('dn', 'v', 'model, rep'), 'model, rep')}, oj AS {_overlap_sql(_hard_sql('ob', 'p_hat', 'model'), 'model')}
+SELECT model, round(any_value(oj.jaccard), 6) AS observed, round(avg(nl.jaccard), 6) AS null_mean, round(stddev_samp(nl.jaccard), 6) AS null_std, round(quantile_cont(nl.jaccard, 0.05), 6) AS null_q05,
+  round((1 + count(*) FILTER (round(nl.jaccard, 12) <= round(oj.jaccard, 12))) / (1.0 + count(*)), 6) AS p_value, count(*) AS n_draws FROM nl JOIN oj USING (model) GROUP BY model""")
 def reestimation_null(spark, d):
-    p = inf._stats(spark, d).where("seed = 0").groupBy("model", "item").agg(F.avg("p_hat").alias("p"))
-    spread = p.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("colno", F.explode(F.array(F.lit(0), F.lit(1))))
-    hits = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), lambda acc, j: acc + (st.draw(F.col("rep"), F.col("colno"), F.col("model"), F.col("item"), j, below=F.lit(2**32)) / F.lit(4294967296.0) < F.col("p")).cast("int"))
-    h = tr.hard_subset(spread.withColumn("k", hits), ["rep", "colno", "model"], "k").select("rep", "colno", "model", "item")
-    got = tr.jaccard(h, ["model", "rep"], "colno")
-    return got.groupBy("model").agg(r6(F.avg("jaccard")).alias("null_jaccard"), F.count(F.lit(1)).alias("n_draws"))
+    got = tr.reestimation_null(inf._stats(spark, d).where("seed = 0"), ["model"], "config", NULL_DRAWS)
+    return got.withColumns({x: r6(x) for x in ("observed", "null_mean", "null_std", "null_q05", "p_value")})
+
