@@ -103,7 +103,7 @@ def extractor_agreement(spark, d):
 @query("integer_gold_only", f"WITH {T} SELECT kind, count(*) AS n FROM a WHERE norm IS NOT NULL AND norm NOT LIKE '%.%' GROUP BY kind")
 def integer_gold_only(spark, d):
     k = F.lit("math")
-    t = ad.traces(spark, d).withColumn("norm", an.normalize_col(an.extract_col(F.col("text"), k), k))
+    t = ad.traces(spark, d).withColumn("answer", an.extract_col(F.col("text"), k)).withColumn("norm", an.normalize_col(F.col("answer"), k))
     return t.where(F.col("norm").rlike(r"^-?\d+$")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
