@@ -55,3 +55,12 @@ def test_budgets_are_never_exceeded(spark, sf, name):
 def test_bca_brackets_the_mean(spark, sf):
     for r in QUERIES["bca_ci_mean"](spark, sf).collect():
         assert r.ci_low < r.point < r.ci_high
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_ranks_no_whole_group_in_one_task(spark, sf):
+    windows = [line for line in plan_of(QUERIES["audit_sample"](spark, sf)).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(windows) == 3 and "_part" in windows[1] and "_part" not in windows[0]
