@@ -64,3 +64,19 @@ def plan_of(df) -> str:
 def test_audit_ranks_no_whole_group_in_one_task(spark, sf):
     windows = [line for line in plan_of(QUERIES["audit_sample"](spark, sf)).splitlines() if "Exchange hashpartitioning" in line]
     assert len(windows) == 3 and "_part" in windows[1] and "_part" not in windows[0]
+
+
+@pytest.mark.parametrize(("name", "exchanges"), [("sc_budget_draw", 1), ("early_stop_vote", 1), ("budget_curves", 2), ("cdv_round_robin", 2), ("cdv_adaptive", 2)])
+def test_draws_vote_within_their_row(spark, sf, name, exchanges):
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == exchanges and "Join" not in plan
+
+
+def test_chains_move_before_replicates_multiply_them(spark, sf):
+    plan = plan_of(QUERIES["transferred_allocation"](spark, sf))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chains" in line]
+    assert all("replicate" not in line for line in moved) and plan.index("Generate") < plan.index("Join")
+
+
+def test_scores_of_configurations_come_from_draws_without_a_vote_join(spark, sf):
+    assert "posexplode" not in plan_of(QUERIES["compare_to_reference"](spark, sf))
