@@ -80,3 +80,8 @@ def test_chains_move_before_replicates_multiply_them(spark, sf):
 
 def test_scores_of_configurations_come_from_draws_without_a_vote_join(spark, sf):
     assert "posexplode" not in plan_of(QUERIES["compare_to_reference"](spark, sf))
+
+
+def test_curve_orders_samples_once_for_all_sizes(spark, sf):
+    plan = plan_of(QUERIES["majority_accuracy_curve"](spark, sf))
+    assert plan.count("Scan parquet") == 1 and plan.count("Window") <= 2 and "Union" not in plan
