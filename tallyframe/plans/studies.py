@@ -58,11 +58,12 @@ SELECT 'spread' AS prediction, model, round(x * 100, 6) AS value, CAST(NULL AS B
 UNION ALL SELECT 'ties', model, round(avg(tie_rate), 6), count(*), avg(tie_rate) < 0.25 FROM ceil GROUP BY model""")
 def predictions(spark, d):
     rows = cl.ceilings(cl.with_modes(ad.samples(spark, d)), CELL_BY)
-    spread = rows.groupBy("model", "seed").agg(((F.max("pi_mode") - F.min("pi_mode")) * 100).alias("x"))
-    one = spread.select(F.lit("spread").alias("prediction"), "model", r6("x").alias("value"), (F.round("x", 9) > 3).alias("supported"))
-    two = rows.groupBy("model").agg(F.avg("tie_rate").alias("x"), F.count(F.lit(1)).alias("n"))
-    two = two.select(F.lit("ties").alias("prediction"), "model", "n", r6("x").alias("value"), (F.col("x") < 0.25).alias("supported"))
-    return one.unionByName(two, allowMissingColumns=True)
+    per = rows.groupBy("model", "seed").agg(((F.max("pi_mode") - F.min("pi_mode")) * 100).alias("x"), F.sum("tie_rate").alias("t"), F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("model").agg(F.collect_list("x").alias("xs"), (F.sum("t") / F.sum("c")).alias("t"), F.sum("c").alias("c"))
+    said = lambda name, x, n, yes: F.struct(F.lit(name).alias("prediction"), r6(x).alias("value"), n.cast("long").alias("n"), yes.alias("supported"))
+    spread = F.transform("xs", lambda x: said("spread", x, F.lit(None), F.round(x, 9) > 3))
+    ties = said("ties", F.col("t"), F.col("c"), F.col("t") < 0.25)
+    return per.select("model", F.explode(F.concat(spread, F.array(ties))).alias("p")).select("p.prediction", "model", "p.value", "p.n", "p.supported")
 
 
 @query("backend_stats", """SELECT l_suppkey AS backend, count(*) AS n_calls, CAST(sum(l_partkey % 100) AS BIGINT) AS tokens_prompt, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens_completion,

@@ -85,3 +85,7 @@ def test_scores_of_configurations_come_from_draws_without_a_vote_join(spark, sf)
 def test_curve_orders_samples_once_for_all_sizes(spark, sf):
     plan = plan_of(QUERIES["majority_accuracy_curve"](spark, sf))
     assert plan.count("Scan parquet") == 1 and plan.count("Window") <= 2 and "Union" not in plan
+
+
+def test_predictions_read_the_samples_once(spark, sf):
+    assert plan_of(QUERIES["predictions"](spark, sf)).count("Scan parquet") == 1
