@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import identity as ident
 from tallyframe.functions import stats as st
-from tallyframe.operators.resampling import with_replicates
 
 
 def pairs_of(df: DataFrame, by: list[str], level: str, value: str, item: str = "item", rank: Column | None = None) -> DataFrame:
@@ -74,49 +76,115 @@ def quantile_bucket(df: DataFrame, by: list[str], value: str, parts: int) -> Dat
     return got.withColumn("bucket", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 
-def binomial_steps(n: Column, p: Column) -> Column:
-    """The least draws below ``stats.MODULUS`` at which a binomial count is over 0, over 1, up to n - 1; terms are summed as
-    logarithms, so any n fits."""
-    sure = F.greatest(F.lit(1e-300), F.least(F.lit(1.0 - 1e-16), p))
-    start = F.struct((n * F.log1p(-sure)).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("steps"))
-
-    def step(acc: Column, k: Column) -> Column:
-        total = acc["sum"] + F.exp(acc["term"])
-        term = acc["term"] + F.log((n - k).cast("double") / (k + 1)) + F.log(sure) - F.log1p(-sure)
-        return F.struct(term.alias("term"), total.alias("sum"), F.concat(acc["steps"], F.array(F.round(total * st.MODULUS).cast("long"))).alias("steps"))
-
-    found = F.aggregate(F.sequence(F.lit(0), n.cast("int") - 1), start, step, lambda acc: acc["steps"])
-    return F.when(n > 0, found).otherwise(F.array().cast("array<bigint>"))
-
-
-def mean_overlap(values: DataFrame, by: list[str], level: str, value: str, tie: Column | None = None) -> DataFrame:
-    """(by, jaccard): mean overlap of the hard items over all pairs of levels. An item's levels meet in one row and give
-    counts of single levels and of pairs alike, so hard items are found once; levels are few."""
-    hard = hard_subset(values, [*by, level], value, tie=tie).select(*by, "item", F.col(level).alias("_l"))
-    met = hard.groupBy(*by, "item").agg(F.array_sort(F.collect_list("_l")).alias("_ls"))
-    one = met.select(*by, "_ls", F.explode("_ls").alias("a"))
-    pairs = one.select(*by, "a", F.explode("_ls").alias("b")).where("a <= b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    table = pairs.groupBy(*by).agg(F.collect_list(F.struct("a", "b", "n")).alias("t"))
-    table = table.withColumn("sizes", F.map_from_entries(F.transform(F.filter("t", lambda x: x["a"] == x["b"]), lambda x: F.struct(x["a"], x["n"]))))
-    shares = F.transform(F.filter("t", lambda x: x["a"] < x["b"]), lambda x: x["n"] / (F.col("sizes")[x["a"]] + F.col("sizes")[x["b"]] - x["n"]))
-    levels = F.size("sizes")
-    total = F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
-    return table.select(*by, F.try_divide(total, levels * (levels - 1) / F.lit(2.0)).alias("jaccard"))
+def binomial_steps(n: int, p: np.ndarray) -> np.ndarray:
+    """Per place of ``p`` a column of the least draws below ``stats.MODULUS`` at which a binomial count of n is over 0, over 1, up
+    to n - 1; terms are summed as logarithms, so any n fits."""
+    sure = np.maximum(1e-300, np.minimum(1.0 - 1e-16, p))
+    term, total, odds = n * np.log1p(-sure), np.zeros(len(p)), np.log(sure) - np.log1p(-sure)
+    steps = np.empty((n, len(p)), np.int64)
+    for k in range(n):
+        total += np.exp(term)
+        term += np.log((n - k) / (k + 1)) + odds
+        steps[k] = np.floor(total * st.MODULUS + 0.5)
+    return steps
+
+
+def _draws(a: np.ndarray, b: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """``stats.replicate_draw`` of keys in replicates; a remainder by 2**31 - 1 is a sum of bits above and below."""
+
+    def rest(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = (x & st.MODULUS) + (x >> 31)
+        return np.where(x >= st.MODULUS, x - st.MODULUS, x)
+
+    x = rest(a[None, :] + replicates[:, None] * st.STRIDE)
+    for _ in range(st.SQUARINGS):
+        x = rest(x * x + b[None, :])
+    return x
+
+
+#: Cells whose draws are compared with their steps at once; it bounds what a comparison holds.
+BLOCK = 2_048
+
+
+def binomial_counts(n: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Binomial counts (replicate, cell) by the draws of keys (a, b). Cells of one n are drawn together."""
+    counts = np.zeros((len(replicates), len(n)), np.int32)
+    order = np.argsort(n, kind="stable")
+    edges = np.flatnonzero(np.diff(n[order], prepend=-1))
+    for start, stop in zip(edges, [*edges[1:], len(n)], strict=True):
+        for at in range(start, stop, BLOCK):
+            cells = order[at : min(at + BLOCK, stop)]
+            steps = binomial_steps(int(n[cells[0]]), p[cells]).clip(max=st.MODULUS).astype(np.int32)
+            x = _draws(a[cells], b[cells], replicates).astype(np.int32)
+            got = np.zeros(x.shape, np.int32)
+            for step in steps:
+                got += step <= x
+            counts[:, cells] = got
+    return counts
+
+
+def _hard(values: np.ndarray, share: float = 0.25) -> np.ndarray:
+    """Which places of values in the order of their tie breaks are hard: see ``hard_subset``."""
+    size = max(1, round(share * len(values)))
+    cut = np.partition(values, size - 1)[size - 1]
+    hard = values < cut
+    hard[np.flatnonzero(values == cut)[: size - np.count_nonzero(hard)]] = True
+    return hard
+
+
+def _overlap(values: list[np.ndarray], places: list[np.ndarray], items: int) -> float | None:
+    """Mean overlap of the hard items over all pairs of levels, |both| / |either|; None for a single level."""
+    sets = []
+    for v, at in zip(values, places, strict=True):
+        sets.append(np.zeros(items, bool))
+        sets[-1][at[_hard(v)]] = True
+    shares = [np.count_nonzero(x & y) / np.count_nonzero(x | y) for i, x in enumerate(sets) for y in sets[i + 1 :]]
+    return sum(shares) / len(shares) if shares else None
+
+
+#: Parts that the replicates of a group are dealt to, each with all its cells.
+PARTS = 16
+
+
+def null_overlaps(cells: DataFrame, by: list[str], level: str, draws: int) -> DataFrame:
+    """(by, observed, jaccard) a replicate, of cells (by, level, item, n, p_hat). The cells of an item meet in a row, which goes to
+    every part of the replicates; a part draws its cells a replicate at a time and sends back overlaps alone. So what moves grows
+    with cells, not with draws, and a part holds some 40 bytes a cell of one group, and its counts."""
+    unit = F.concat_ws("-", *by, level, "item")
+    own = F.struct(F.col(level).cast("string").alias("level"), F.col("n").cast("long").alias("n"), F.col("p_hat").alias("v"), st.replicate_key(unit).alias("key"))
+    met = cells.groupBy(*by, "item").agg(F.collect_list(own).alias("xs"), F.avg("p_hat").alias("p"))
+    met = met.withColumn("tie", ident.stable_hash(F.col("item"), 8)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("tie", "ascending"), ("item", "ascending")])).combine_chunks()
+        xs = table["xs"].combine_chunks()
+        flat, at = xs.flatten(), pc.list_parent_indices(xs).to_numpy()
+        take = lambda *path: pc.struct_field(flat, list(path)).to_numpy(zero_copy_only=False)
+        n, v, a, b = take("n"), take("v"), take("key", "a"), take("key", "b")
+        names = pc.struct_field(flat, ["level"]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        p = table["p"].to_numpy()[at]
+        groups = [np.flatnonzero(names == i) for i in range(names.max() + 1)]
+        places, items = [at[g] for g in groups], table.num_rows
+        seen = _overlap([np.where(np.isnan(v[g]), np.inf, v[g]) for g in groups], places, items)
+        mine, found = np.arange(table["part"][0].as_py(), draws, PARTS), []
+        room = max(1, 40_000_000 // len(n))
+        for start in range(0, len(mine), room):
+            for counts in binomial_counts(n, p, a, b, mine[start : start + room]):
+                drawn = np.where(n > 0, counts / np.maximum(n, 1), np.inf)
+                found.append(_overlap([drawn[g] for g in groups], places, items))
+        keys = [pa.chunked_array([pc.take(table[c].combine_chunks(), pa.array(np.zeros(len(found), np.int64)))]) for c in by]
+        return pa.table([*keys, pa.array([seen] * len(found), pa.float64()), pa.array(found, pa.float64())], names=[*by, "observed", "jaccard"])
+
+    return met.groupBy(*by, "part").applyInArrow(run, f"{fields}, observed double, jaccard double")
 
 
 def reestimation_null(c: DataFrame, by: list[str], level: str, draws: int) -> DataFrame:
     """(by, observed, null_mean, null_std, null_q05, p_value, n_draws): the overlap of hard items between levels against the one
     that sampling alone would leave. Under the null an item has one difficulty, its mean p_hat, and every cell (by, level,
     item, n, p_hat) is drawn anew from a binomial of its own n; p is one-sided, for less overlap."""
-    mean = c.groupBy(*by, "item").agg(F.avg("p_hat").alias("_p"))
-    cells = c.select(*by, level, "item", "n").join(mean, [*by, "item"])
-    cells = cells.select(*by, level, "item", "n", binomial_steps(F.col("n"), F.col("_p")).alias("_steps"), F.concat_ws("-", *by, level, "item").alias("_unit"), ident.stable_hash(F.col("item"), 8).alias("_tie"))
-    drawn = with_replicates(cells, "_unit", draws)
-    # The draw is bound once: within the filter it would be made again for every step.
-    count = F.transform(F.array("_x"), lambda x: F.size(F.filter("_steps", lambda s: s <= x)))[0]
-    drawn = drawn.select(*by, "replicate", level, "item", "_tie", st.ratio(count, F.col("n")).alias("v"))
-    null = mean_overlap(drawn, [*by, "replicate"], level, "v", F.col("_tie"))
-    seen = null.join(mean_overlap(c, by, level, "p_hat").withColumnRenamed("jaccard", "observed"), by)
+    seen = null_overlaps(c, by, level, draws)
     low = F.count_if(F.round("jaccard", 12) <= F.round("observed", 12))
     return seen.groupBy(*by).agg(
         F.first("observed").alias("observed"), F.avg("jaccard").alias("null_mean"), F.stddev_samp("jaccard").alias("null_std"), F.percentile("jaccard", F.lit(0.05)).alias("null_q05"),

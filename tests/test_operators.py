@@ -229,3 +229,21 @@ def test_streamed_grading(spark, tmp_path):
     sg.grade_stream(sg.read_records(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.uid: r.is_correct for r in sg.read_graded(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": True, "b": True}
+
+
+def test_null_draws_are_those_of_the_hash_and_move_cells_alone(spark):
+    keys = spark.range(50).select("id", st.replicate_key(F.col("id")).alias("key")).crossJoin(spark.range(7).select(F.col("id").alias("rep")))
+    rows = keys.select("id", "rep", "key.a", "key.b", st.replicate_draw(F.col("key"), F.col("rep")).alias("x")).collect()
+    a, b = ({r.id: r[c] for r in rows} for c in ("a", "b"))
+    x = tr._draws(np.array([a[i] for i in range(50)]), np.array([b[i] for i in range(50)]), np.arange(7))
+    assert all(x[r.rep, r.id] == r.x for r in rows)
+    n, p = np.array([0, 1, 5, 5] * 12 + [3000, 9]), np.linspace(0, 1, 50)
+    counts = tr.binomial_counts(n, p, np.array([a[i] for i in range(50)]), np.array([b[i] for i in range(50)]), np.arange(7))
+    for i in range(50):
+        steps = tr.binomial_steps(int(n[i]), p[i : i + 1])[:, 0]
+        assert [sum(s <= y for s in steps) for y in x[:, i]] == list(counts[:, i])
+    cells = spark.createDataFrame([("m", c, str(i), 4, (i % 5) / 4) for c in ("c0", "c1") for i in range(12)], "model string, config string, item string, n long, p_hat double")
+    df = tr.reestimation_null(cells, ["model"], "config", 20)
+    row, plan = df.first(), df._jdf.queryExecution().executedPlan().toString()
+    assert row.n_draws == 20 and row.observed == 1.0 and 0 < row.null_mean < 1
+    assert "Window" not in plan and not any("Exchange" in line and "replicate" in line for line in plan.splitlines())
